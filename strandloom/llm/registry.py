@@ -1,9 +1,11 @@
 """The queries of this subpackage and their SQL."""
 
-from strandloom.llm import minhash
+from strandloom.llm import bpe, minhash
 
 QUERIES = {
     "op1_minhash_near_dedup": minhash.op1_minhash_near_dedup,
+    "op4_token_counts": bpe.op4_token_counts,
+    "op5_bpe_encode_decode": bpe.op5_bpe_encode_decode,
 }
 
 SQL = {
