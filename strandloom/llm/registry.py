@@ -1,13 +1,15 @@
 """The queries of this subpackage and their SQL."""
 
-from strandloom.llm import bpe, minhash
+from strandloom.llm import bpe, decontaminate, minhash
 
 QUERIES = {
     "op1_minhash_near_dedup": minhash.op1_minhash_near_dedup,
     "op4_token_counts": bpe.op4_token_counts,
     "op5_bpe_encode_decode": bpe.op5_bpe_encode_decode,
+    "op7_benchmark_decontamination": decontaminate.op7_benchmark_decontamination,
 }
 
 SQL = {
     "op1_minhash_near_dedup": minhash.OP1_SQL,
+    "op7_benchmark_decontamination": decontaminate.OP7_SQL,
 }
