@@ -1,12 +1,15 @@
 """The queries of this subpackage and their SQL."""
 
-from strandloom.llm import bpe, decontaminate, minhash
+from strandloom.llm import bpe, decontaminate, langid, licenses, minhash, toxicity
 
 QUERIES = {
     "op1_minhash_near_dedup": minhash.op1_minhash_near_dedup,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op4_token_counts": bpe.op4_token_counts,
     "op5_bpe_encode_decode": bpe.op5_bpe_encode_decode,
+    "op6_license_scan": licenses.op6_license_scan,
     "op7_benchmark_decontamination": decontaminate.op7_benchmark_decontamination,
+    "op8_language_id": langid.op8_language_id,
 }
 
 SQL = {
