@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from strandloom.llm import bpe, decontaminate, langid, licenses, minhash, toxicity
+from strandloom.llm import bpe, decontaminate, langid, licenses, minhash, toxicity, vectors
 
 QUERIES = {
     "op1_minhash_near_dedup": minhash.op1_minhash_near_dedup,
@@ -10,9 +10,11 @@ QUERIES = {
     "op6_license_scan": licenses.op6_license_scan,
     "op7_benchmark_decontamination": decontaminate.op7_benchmark_decontamination,
     "op8_language_id": langid.op8_language_id,
+    "op10_embedding_near_dedup": vectors.op10_embedding_near_dedup,
 }
 
 SQL = {
     "op1_minhash_near_dedup": minhash.OP1_SQL,
     "op7_benchmark_decontamination": decontaminate.OP7_SQL,
+    "op10_embedding_near_dedup": vectors.OP10_SQL,
 }
