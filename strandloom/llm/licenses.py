@@ -47,6 +47,7 @@ class Automaton:
             for i, w in enumerate(seq, 1):
                 last = self._extend(last, self.code[w])
                 tips.append((last, k, i))
+        self.tips = {(k, i): state for state, k, i in tips}
         for state, k, i in tips:
             while state > 0:
                 self.ends[state].append((k, i))
@@ -85,8 +86,9 @@ class Scanner:
         self.phrases = [(t.encode().split(), name) for t, name in phrases]
         self.all = self.phrases + [(t.encode().split(), name) for t, name in templates]
         self.auto = Automaton([w for w, _ in self.all])
-        whole = {(k, len(w)): k for k, (w, _) in enumerate(self.phrases)}
-        self.found = [[whole[e] for e in ends if e in whole] for ends in self.auto.ends]
+        self.found: list[list[int]] = [[] for _ in self.auto.len]
+        for k, (w, _) in enumerate(self.phrases):
+            self.found[self.auto.tips[k, len(w)]].append(k)
         for state in sorted(range(1, len(self.found)), key=self.auto.len.__getitem__):  # a phrase may end a longer match
             self.found[state] = sorted({*self.found[state], *self.found[self.auto.link[state]]})
 
