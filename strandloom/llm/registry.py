@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from strandloom.llm import bpe, decontaminate, langid, licenses, minhash, toxicity, vectors
+from strandloom.llm import bpe, decontaminate, html, langid, licenses, minhash, toxicity, vectors
 
 QUERIES = {
     "op1_minhash_near_dedup": minhash.op1_minhash_near_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_license_scan": licenses.op6_license_scan,
     "op7_benchmark_decontamination": decontaminate.op7_benchmark_decontamination,
     "op8_language_id": langid.op8_language_id,
+    "op9_html_extraction": html.op9_html_extraction,
     "op10_embedding_near_dedup": vectors.op10_embedding_near_dedup,
 }
 
