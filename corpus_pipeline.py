@@ -1,8 +1,70 @@
-"""The corpus pipeline; its stages follow with their operators."""
+"""Corpus pipeline: toxicity, repeated passages, near-duplicates, benchmark contamination, token ids.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir), works on all rows it is given and returns a DataFrame; all but the last return the
+columns of documents. Nulls, empty tables and repeated rows are treated as the operators say.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandloom.llm import bpe, decontaminate, linededup, minhash, toxicity
+from strandloom.llm.common import save, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose score is under toxicity.REJECT; the model learns from the labels of these rows."""
+    model = spark.sparkContext.broadcast(toxicity.train(docs, table(spark, sf_dir, "labels")))
+    scored = docs.withColumn("_score", toxicity.toxicity(F.col("text").cast("string"), model))
+    return scored.where(F.col("_score") < toxicity.REJECT).select(*docs.columns)
+
+
+def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, later repeats of passages cut out of text; n_chars follows. A document that is all repeats stays with ''."""
+    done = linededup.without_repeats(docs, out="_cut").withColumn("text", F.col("_cut.text"))
+    if "n_chars" in docs.columns:
+        done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return done.select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates (five-word shingles, 0.8) the smallest doc_id; documents without words are in no group and stay."""
+    rejected = minhash.near_duplicates(docs).where("component_id is not null and not kept").select("doc_id").distinct()
+    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that aren't contaminated by items of benchmark."""
+    marked = decontaminate.with_hits(docs, table(spark, sf_dir, "benchmark"), out="_hits")
+    return marked.where(~decontaminate.contaminated(F.col("_hits"))).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, the ids as little-endian unsigned 32-bit integers, and digests of the ids and of the text they decode to."""
+    return bpe.with_bpe(docs).select(
+        "doc_id",
+        F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"),
+        "ids",
+        F.sha2(F.col("ids"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_repeats),
+    ("minhash_near_dedup", drop_near_duplicates),
+    ("benchmark_decontamination", drop_contaminated),
+    ("bpe_encode_decode", encode),
+]
+
+#: SQL can't express the first stage, nor the last.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = save(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -1,10 +1,11 @@
 """The queries of this subpackage and their SQL."""
 
-from strandloom.llm import bpe, decontaminate, html, langid, licenses, minhash, toxicity, vectors
+from strandloom.llm import bpe, decontaminate, html, langid, licenses, linededup, minhash, toxicity, vectors
 
 QUERIES = {
     "op1_minhash_near_dedup": minhash.op1_minhash_near_dedup,
     "op2_toxicity": toxicity.op2_toxicity,
+    "op3_line_dedup": linededup.op3_line_dedup,
     "op4_token_counts": bpe.op4_token_counts,
     "op5_bpe_encode_decode": bpe.op5_bpe_encode_decode,
     "op6_license_scan": licenses.op6_license_scan,
