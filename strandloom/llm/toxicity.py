@@ -83,28 +83,35 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     """
     raw = [t.encode("utf-8", "replace") for t in texts]
     offsets = np.cumsum([0, *map(len, raw)])
-    feats, of, row = [], [], []
-    for a, b in pieces(offsets):
-        f, o, r, _ = sentences(np.frombuffer(b"".join(raw[a:b]), np.uint8), offsets[a : b + 1] - offsets[a])
-        feats.append(f)
-        of.append(o + sum(map(len, row)))
-        row.append(r + a)
-    if not feats or not sum(map(len, row)) or len(set(labels)) < 2:
-        base = min(max(sum(labels) / len(labels), 1e-3), 1 - 1e-3) if labels else 1e-3
-        return Model(np.zeros(DIM + 1), float(np.log(base / (1 - base))))
-    feats, of, row = np.concatenate(feats), np.concatenate(of), np.concatenate(row)
     y = np.array(labels, float)
+    share = y.mean() if len(y) else 0.0
+    if not 0 < share < 1:
+        base = min(max(share, 1e-3), 1 - 1e-3)
+        return Model(np.zeros(DIM + 1), float(np.log(base / (1 - base))))
+
+    def parts():
+        for a, b in pieces(offsets):
+            yield a, sentences(np.frombuffer(b"".join(raw[a:b]), np.uint8), offsets[a : b + 1] - offsets[a])
+
     # candidates: features that documents with label 1 have more often, beyond chance
-    doc = np.repeat(row[of], feats.shape[1])
-    pairs = np.unique(feats.ravel() * len(y) + doc)
-    feat, label = pairs // len(y), y[pairs % len(y)]
-    pos, neg = np.bincount(feat[label == 1], minlength=DIM + 1), np.bincount(feat[label == 0], minlength=DIM + 1)
-    share, both = y.mean(), np.maximum(pos + neg, 1)
+    pos, neg = np.zeros(DIM + 1), np.zeros(DIM + 1)
+    for a, (feats, of, row, _) in parts():
+        pairs = np.unique(feats.ravel() * len(y) + np.repeat(row[of] + a, feats.shape[1]))
+        for label, into in ((1, pos), (0, neg)):
+            into += np.bincount(pairs[y[pairs % len(y)] == label] // len(y), minlength=DIM + 1)
+    both = np.maximum(pos + neg, 1)
     gain = 2 * (pos * np.log(np.maximum(pos, 1) / (both * share)) + neg * np.log(np.maximum(neg, 1) / (both * (1 - share))))
     often = (gain >= GAIN) & (pos > both * share)
     often[DIM] = False
-    use = often[feats]
-    flat, sent = feats[use], np.repeat(of, feats.shape[1]).reshape(feats.shape)[use]
+    row, flat, sent = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    before = 0
+    for a, (feats, of, at, _) in parts():
+        use = often[feats]
+        flat.append(feats[use])
+        sent.append(np.repeat(of + before, feats.shape[1]).reshape(feats.shape)[use])
+        row.append(at + a)
+        before += len(at)
+    row, flat, sent = map(np.concatenate, (row, flat, sent))
     known, flat = np.unique(flat, return_inverse=True)
     w, bias = np.zeros(len(known)), START
     draw = np.random.default_rng(11)
