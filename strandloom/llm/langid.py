@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -15,7 +16,7 @@ from strandloom.llm.common import pieces, table, utf8_parts
 
 #: Training: at most this many labelled texts and symbols of a language, drawn by a hash of the id; longer texts than
 #: LONGEST bytes are not drawn. Letters past the ALPHABET most frequent are one symbol. CELLS bounds all tables together.
-TEXTS, SYMBOLS, LONGEST, ALPHABET, CELLS = 120, 40_000, 100_000, 62, 30_000_000
+TEXTS, SYMBOLS, LONGEST, ALPHABET, CELLS = 120, 40_000, 100_000, 62, 24_000_000
 #: A text is parsed in stretches of this many symbols, so that many are parsed in step; a phrase ends with its stretch.
 STRETCH = 512
 
@@ -71,23 +72,37 @@ def symbols_of(raw: bytes, table_: np.ndarray) -> np.ndarray:
     return got[keep]
 
 
+_built: dict[str, "Model"] = {}
+
+
 class Model:
+    """Holds the training symbols of each language; the automata are built where they are used, so a broadcast is small."""
+
     def __init__(self, texts: dict[str, list[str]]):
         counts = Counter(c for ts in texts.values() for t in ts for c in t.lower() if c.isalpha())
         self.letters = [c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:ALPHABET]]
-        self.symbols = symbol_table(self.letters)
         self.langs = sorted(k for k, ts in texts.items() if any(c.isalpha() for t in ts for c in t))
-        size = len(self.letters) + 2
-        most = min(SYMBOLS, CELLS // (2 * size * max(1, len(self.langs))))
-        made, self.root, self.weight, at = [], [], [], 0
-        for lang in self.langs:
-            seq = np.concatenate([symbols_of(t.encode("utf-8", "replace"), self.symbols) for t in texts[lang]])[:most]
-            made.append(suffix_table(seq, size))
-            made[-1][made[-1] > 0] += at
-            self.root.append(at)
-            self.weight.append(math.log2(len(seq) + 1))
-            at += len(made[-1])
-        self.size, self.onward = size, np.concatenate(made).ravel() if made else np.zeros(0, np.int32)
+        self.size = len(self.letters) + 2
+        most = min(SYMBOLS, CELLS // (2 * self.size * max(1, len(self.langs))))
+        known = symbol_table(self.letters)
+        self.seqs = [np.concatenate([symbols_of(t.encode("utf-8", "replace"), known) for t in texts[k]])[:most] for k in self.langs]
+        self.key = uuid.uuid4().hex
+
+    def built(self) -> "Model":
+        """With the automata; a worker keeps the last model it built."""
+        if self.key not in _built:
+            self.symbols = symbol_table(self.letters)
+            made, self.root, at = [], [], 0
+            for seq in self.seqs:
+                made.append(suffix_table(seq, self.size))
+                made[-1][made[-1] > 0] += at
+                self.root.append(at)
+                at += len(made[-1])
+            self.weight = [math.log2(len(seq) + 1) for seq in self.seqs]
+            self.onward = np.concatenate(made).ravel() if made else np.zeros(0, np.int32)
+            _built.clear()
+            _built[self.key] = self
+        return _built[self.key]
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """Phrases of each text (rows) in each language (columns)."""
@@ -155,7 +170,7 @@ def language(text: Column, model) -> Column:
 
     @F.arrow_udf(GUESS)
     def guess(cols: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        m = model.value
+        m = model.value.built()
         for col in cols:
             offsets, data = utf8_parts(col)
             langs, scores = [], []
