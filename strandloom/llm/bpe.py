@@ -16,13 +16,14 @@ from operator import mul
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.llm.common import table
 
 #: Distinct chunks a worker remembers between batches; past it the memory is cleared, and chunks are counted anew.
-REMEMBER = 400_000
+REMEMBER = 300_000
 NO_RANK = np.iinfo(np.int64).max
 
 
@@ -55,6 +56,7 @@ class Merger:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.end = model["end_of_word_suffix"] or ""
+        self.marks = [x.encode() for x in self.special]
         self.size = max([*self.vocab.values(), *self.special.values()]) + 1
         self.names = [""] * self.size
         for name, i in [*self.vocab.items(), *self.special.items()]:
@@ -65,65 +67,106 @@ class Merger:
         self.keys, self.ranks = keys[order], order.astype(np.int64)
         self.made = np.array([self.vocab[a + b] for a, b in pairs], np.int64)[order]
 
-    def symbols(self, chunk: bytes) -> list[list[int]]:
-        """The starting symbols of each pre-token; a special string is one finished symbol."""
-        if chunk.isalpha():
-            words = [chunk.lower().decode()]
-            return [self._spell(w) for w in words]
-        text, out = chunk.decode("utf-8", "replace"), []
-        for part in self.cut.split(text) if self.cut else [text]:
-            if part in self.special:
-                out.append([self.special[part]])
-            elif part:
-                plain = self.lib.normalizer.normalize_str(part) if self.lib.normalizer else part
-                out += [self._spell(w) for w, _ in self.lib.pre_tokenizer.pre_tokenize_str(plain)]
-        return out
-
-    def _spell(self, word: str) -> list[int]:
-        find = self.vocab.get
-        out = [find(c) for c in word[:-1]]
-        out.append(find(word[-1] + self.end))
-        return [x for x in out if x is not None]
-
-    def merge(self, words: list[list[int]]) -> list[np.ndarray]:
-        """The ids of each word (a list of starting symbols)."""
-        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(words)
-        sizes = np.array([len(w) for w in words], np.int64)
-        name = np.flatnonzero(sizes)
-        sizes = sizes[name]
-        sym = np.array([x for w in words for x in w], np.int64)
-        while len(name):
-            of = np.repeat(np.arange(len(name)), sizes)
-            starts = np.cumsum(sizes) - sizes
-            rank = np.full(len(sym), NO_RANK)
-            key = sym[:-1] * self.size + sym[1:]
-            at = np.searchsorted(self.keys, key)
-            at[at == len(self.keys)] = 0
-            hit = (self.keys[at] == key) & (of[:-1] == of[1:])
-            rank[:-1][hit] = self.ranks[at[hit]]
-            best = np.minimum.reduceat(rank, starts)
+        # the byte alphabet: printable bytes stand for themselves, the others follow 255 in order
+        shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        self.alphabet = {b: chr(b) for b in shown} | {b: chr(0x100 + k) for k, b in enumerate(b for b in range(256) if b not in shown)}
+        self.letters = np.array([self.vocab.get(self.alphabet[b], -1) for b in range(256)], np.int64)
+        self.last = np.array([self.vocab.get(self.alphabet[b] + self.end, -1) for b in range(256)], np.int64)
+        self.back = {c: b for b, c in self.alphabet.items()}
+        steps, cuts = (spec.get(k) or {} for k in ("normalizer", "pre_tokenizer"))
+        kinds = [x["type"] for x in steps.get("normalizers", [])], [x["type"] for x in cuts.get("pretokenizers", [])]
+        usual = kinds == (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]) and cuts["pretokenizers"][0]["invert"]
+        self.pattern = regex.compile(cuts["pretokenizers"][0]["pattern"]["Regex"]) if usual else None
+
+    def pretokens(self, chunks: list[bytes]) -> tuple[list[str], list[int]]:
+        """The pre-tokens of chunks without special strings, and how many each chunk has.
+
+        In chunks of letters that NFC leaves alone (below U+0250) lower-casing and the file's own pattern are enough;
+        the others go through the library's normaliser and pre-tokenizer.
+        """
+        words: list[str] = []
+        counts: list[int] = []
+        for c in chunks:
+            text = c.decode("utf-8", "replace")
+            if self.pattern and (text.isascii() or max(text) < "\u0250"):
+                got = self.pattern.findall(text.lower())
+            else:
+                plain = self.lib.normalizer.normalize_str(text) if self.lib.normalizer else text
+                got = [bytes(map(self.back.__getitem__, w)).decode("utf-8", "surrogateescape") for w, _ in self.lib.pre_tokenizer.pre_tokenize_str(plain)]
+            words += got
+            counts.append(len(got))
+        return words, counts
+
+    def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words in a row, and how many each word has."""
+        joined = "".join(words)
+        raw = np.frombuffer(joined.encode("utf-8", "surrogateescape"), np.uint8)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        if len(raw) != len(joined):
+            code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+            wide = np.concatenate([[0], np.cumsum(1 + (code >= 0x80) + ((code >= 0x800) & ~((code >= 0xDC80) & (code <= 0xDCFF))) + (code >= 0x10000) - ((code >= 0xDC80) & (code <= 0xDCFF)))])
+            ends = np.cumsum(sizes)
+            sizes = wide[ends] - wide[ends - sizes]
+        sym = self.letters[raw]
+        tails = np.cumsum(sizes)[sizes > 0] - 1
+        sym[tails] = self.last[raw[tails]]
+        name = np.repeat(np.arange(len(words)), sizes)[sym >= 0]
+        sym = sym[sym >= 0]
+        rank, made = np.full(len(sym), NO_RANK), np.zeros(len(sym), np.int64)
+
+        def look(at: np.ndarray) -> None:
+            """Find the pairs that begin at these places anew."""
+            here = at[at + 1 < len(sym)]
+            rank[at] = NO_RANK
+            here = here[name[here] == name[here + 1]]
+            key = sym[here] * self.size + sym[here + 1]
+            k = np.searchsorted(self.keys, key)
+            k[k == len(self.keys)] = 0
+            hit = self.keys[k] == key
+            rank[here[hit]], made[here[hit]] = self.ranks[k[hit]], self.made[k[hit]]
+
+        look(np.arange(len(sym)))
+        ready, owners = [], []
+        while len(sym):
+            fresh = np.empty(len(sym), bool)
+            fresh[0], fresh[1:] = True, name[1:] != name[:-1]
+            starts = np.flatnonzero(fresh)
+            best = np.repeat(np.minimum.reduceat(rank, starts), np.diff(starts, append=len(sym)))
             done = best == NO_RANK
-            if done.any():
-                for k in np.flatnonzero(done).tolist():
-                    out[name[k]] = sym[starts[k] : starts[k] + sizes[k]]
-            chosen = (rank == best[of]) & (rank != NO_RANK)
-            pos = np.flatnonzero(chosen)
+            ready.append(sym[done])
+            owners.append(name[done])
+            pos = np.flatnonzero((rank == best) & ~done)
             run = np.flatnonzero(np.diff(pos, prepend=-2) != 1)  # of pairs that overlap, every other one
-            nth = np.arange(len(pos)) - np.repeat(run, np.diff(run, append=len(pos)))
-            pos = pos[nth % 2 == 0]
-            sym[pos] = self.made[at[pos]]
-            keep = ~done[of]
+            pos = pos[(np.arange(len(pos)) - np.repeat(run, np.diff(run, append=len(pos)))) % 2 == 0]
+            sym[pos] = made[pos]
+            keep = ~done
             keep[pos + 1] = False
-            sizes = np.bincount(of[keep], minlength=len(name))[~done]
-            sym, name = sym[keep], name[~done]
-        return out
+            now = (np.cumsum(keep) - 1)[pos]
+            sym, name, rank, made = sym[keep], name[keep], rank[keep], made[keep]
+            touched = np.zeros(len(sym), bool)
+            touched[now] = True
+            touched[now[now > 0] - 1] = True
+            look(np.flatnonzero(touched))
+        owner = np.concatenate([*owners, np.zeros(0, np.int64)])
+        order = np.argsort(owner, kind="stable")
+        return np.concatenate([*ready, np.zeros(0, np.int64)])[order], np.bincount(owner, minlength=len(words))
 
     def encode(self, chunks: list[bytes]) -> list[bytes]:
         """For each chunk its ids as little-endian unsigned 32-bit integers."""
-        spelt = [self.symbols(c) for c in chunks]
-        flat = self.merge([w for words in spelt for w in words])
-        ends = np.cumsum([len(w) for w in spelt]).tolist()
-        return [np.concatenate(flat[a:b]).astype("<u4").tobytes() if b > a else b"" for a, b in zip([0, *ends], ends)]
+        odd = [k for k, c in enumerate(chunks) if any(x in c for x in self.marks)]
+        whole = chunks if not odd else [b"" if any(x in c for x in self.marks) else c for c in chunks]
+        words, has = self.pretokens(whole)
+        ids, counts = self.merge(words)
+        ends = np.concatenate([[0], np.cumsum(counts)])[np.cumsum(has, dtype=np.int64)].tolist()
+        raw = ids.astype("<u4").tobytes()
+        out = [raw[4 * a : 4 * b] for a, b in zip([0, *ends], ends)]
+        for k in odd:
+            out[k] = b"".join(
+                self.special[p].to_bytes(4, "little") if p in self.special else self.encode([p.encode()])[0]
+                for p in self.cut.split(chunks[k].decode("utf-8", "replace"))
+                if p
+            )
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -147,12 +190,23 @@ class Memory(dict):
         if len(self) > REMEMBER:
             self.clear()
         new = list(words.difference(self))
-        for a in range(0, len(new), 50_000):
-            some = new[a : a + 50_000]
+        for a in range(0, len(new), 20_000):
+            some = new[a : a + 20_000]
             self.update(zip(some, self.make(some)))
 
 
-def _groups(texts: Iterator[bytes], at_most: int = 8_000_000) -> Iterator[list[list[bytes]]]:
+_memories: dict[tuple[str, str], Memory] = {}
+
+
+def _memory(kind: str, path: str, make) -> Memory:
+    """A worker keeps one memory from task to task."""
+    if (kind, path) not in _memories:
+        _memories.clear()
+        _memories[kind, path] = Memory(make)
+    return _memories[kind, path]
+
+
+def _groups(texts: Iterator[bytes], at_most: int = 4_000_000) -> Iterator[list[list[bytes]]]:
     """The chunks of some texts at a time."""
     held, size = [], 0
     for t in texts:
@@ -177,31 +231,39 @@ def token_counts(text: Column, path: str | None = None) -> Column:
     def count(cols: Iterator[pa.Array]) -> Iterator[pa.Array]:
         lib = _library(path)
         many = getattr(lib, "encode_batch_fast", lib.encode_batch)
-        known = Memory(lambda new: [len(e.ids) for e in many([c.decode("utf-8", "replace") for c in new], add_special_tokens=False)])
+        known = _memory("counts", path, lambda new: [len(e.ids) for e in many([c.decode("utf-8", "replace") for c in new], add_special_tokens=False)])
         for col in cols:
-            out: list[int] = []
             for docs in _groups(_texts(col)):
                 freqs = [Counter(words) for words in docs]
                 known.learn(set().union(*freqs))
-                out += [sum(map(mul, f.values(), map(known.__getitem__, f))) for f in freqs]
-            yield pa.array(out, pa.int64())
+                yield pa.array([sum(map(mul, f.values(), map(known.__getitem__, f))) for f in freqs], pa.int64())
 
     return count(text)
 
 
+def _encode(texts: Iterator[bytes], path: str) -> Iterator[list[bytes]]:
+    known = _memory("ids", path, _merger(path).encode)
+    for docs in _groups(texts):
+        known.learn(set().union(*docs))
+        yield [b"".join(map(known.__getitem__, words)) for words in docs]
+
+
+def _decode(raw: bytes | None, path: str) -> str | None:
+    if raw is None:
+        return None
+    lib, ids = _library(path), np.frombuffer(raw, "<u4").tolist()
+    return lib.decode(ids, skip_special_tokens=False) if lib.decoder else " ".join(map(_merger(path).names.__getitem__, ids))
+
+
 def bpe_encode(text: Column, path: str | None = None) -> Column:
     """The ids of each whole text as little-endian unsigned 32-bit integers (binary); a null text has none."""
     path = path or tokenizer_path()
 
     @F.arrow_udf("binary")
     def encode(cols: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known = Memory(_merger(path).encode)
         for col in cols:
-            out: list[bytes] = []
-            for docs in _groups(_texts(col)):
-                known.learn(set().union(*docs))
-                out += [b"".join(map(known.__getitem__, words)) for words in docs]
-            yield pa.array(out, pa.binary())
+            for ids in _encode(_texts(col), path):
+                yield pa.array(ids, pa.binary())
 
     return encode(text)
 
@@ -212,21 +274,29 @@ def bpe_decode(ids: Column, path: str | None = None) -> Column:
 
     @F.arrow_udf("string")
     def decode(cols: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        lib, names = _library(path), _merger(path).names
         for col in cols:
-            out: list[str | None] = []
-            for x in col:
-                raw = x.as_py()
-                if raw is None:
-                    out.append(None)
-                    continue
-                ids = np.frombuffer(raw, "<u4").tolist()
-                out.append(lib.decode(ids, skip_special_tokens=False) if lib.decoder else " ".join(map(names.__getitem__, ids)))
-            yield pa.array(out, pa.string())
+            for a in range(0, len(col), 500):
+                yield pa.array([_decode(x.as_py(), path) for x in col[a : a + 500]], pa.string())
 
     return decode(ids)
 
 
+BOTH = "struct<ids:binary,decoded:string>"
+
+
+def bpe_round_trip(text: Column, path: str | None = None) -> Column:
+    """bpe_encode() and, of its ids, bpe_decode(), in one pass through a Python worker."""
+    path = path or tokenizer_path()
+
+    @F.arrow_udf(BOTH)
+    def both(cols: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for col in cols:
+            for ids in _encode(_texts(col), path):
+                yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array([_decode(x, path) for x in ids], pa.string())], names=["ids", "decoded"])
+
+    return both(text)
+
+
 def with_token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, limit: int = 2048) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for each row; null and empty texts count 0. Repeated rows each have a result, a null id stays null; other columns are not read."""
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -236,8 +306,8 @@ def with_token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 def with_bpe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """doc_id, ids (binary) and decoded for each row; null and empty texts have no ids and decode to ''. Repeated rows each have a result, a null id stays null; other columns are not read."""
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), bpe_encode(F.col(text_col).cast("string"), path).alias("ids"))
-    return d.withColumn("decoded", bpe_decode(F.col("ids"), path))
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), bpe_round_trip(F.col(text_col).cast("string"), path).alias("both"))
+    return d.select("doc_id", "both.ids", "both.decoded")
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
