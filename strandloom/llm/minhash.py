@@ -15,6 +15,8 @@ from strandloom.llm.components import connected_components
 #: Bands and rows of a band: two sets at 0.8 miss every bucket with probability (1 - 0.8^5)^40, about 1e-7.
 BANDS, ROWS = 40, 5
 SHINGLE, SIMILAR = 5, 80
+#: Members of a block, where a bucket has to be looked through.
+BLOCK = 800
 _MUL = mix(np.arange(1, 65, dtype=U64)) | U64(1)
 
 
@@ -134,14 +136,90 @@ def _links(pairs: DataFrame, texts: DataFrame, k: int, word: str, similar: int)
     return both.mapInArrow(_confirm(k, word, similar), "u binary, v binary")
 
 
+def common_counts(ones: list[np.ndarray], twos: list[np.ndarray], pairs: list[tuple[int, int]]) -> list[int]:
+    """Sizes of the intersections of pairs of sorted sets: pair by pair, or for many pairs by products of 0/1 matrices, a slice of columns at a time."""
+    total = sum(map(len, ones)) + sum(map(len, twos))
+    if sum(len(ones[i]) + len(twos[j]) + 300 for i, j in pairs) < 3 * total + len(ones) * len(twos) * total / 1000:
+        return [len(np.intersect1d(ones[i], twos[j], assume_unique=True)) for i, j in pairs]
+    col = np.unique(np.concatenate([*ones, *twos]), return_inverse=True)[1]
+    row = np.repeat(np.arange(len(ones) + len(twos)), [*map(len, ones), *map(len, twos)])
+    order = np.argsort(col, kind="stable")
+    col, row = col[order], row[order]
+    out = np.zeros((len(ones), len(twos)), np.float32)
+    for a in range(0, int(col[-1]) + 1 if len(col) else 0, 8192):
+        lo, hi = np.searchsorted(col, [a, a + 8192])
+        dense = np.zeros((len(ones) + len(twos), 8192), np.float32)
+        dense[row[lo:hi], col[lo:hi] - a] = 1
+        out += dense[: len(ones)] @ dense[len(ones) :].T
+    return [int(out[i, j]) for i, j in pairs]
+
+
+def _open_pairs(k: int, word: str, similar: int):
+    """Links inside blocks of a bucket between sets of different components; a pair is looked at in the first bucket it shares."""
+    schema = pa.schema([("u", pa.binary()), ("v", pa.binary())])
+
+    def within(rows: list[tuple]) -> list[tuple[bytes, bytes]]:
+        bucket, lo, hi = rows[0][:3]
+        x = [r for r in rows if r[3] == lo]
+        y = x if lo == hi else [r for r in rows if r[3] == hi]
+        if not x or not y:
+            return []
+        bx, by = np.array([r[6] for r in x]), np.array([r[6] for r in y])
+        roots = np.array([r[5] for r in y], object)
+        pairs = []
+        for i in range(len(x)):
+            same = bx[i] == by
+            first = by[np.arange(len(y)), same.argmax(axis=1)] == bucket
+            apart = first & same.any(axis=1) & (roots != x[i][5])
+            if lo == hi:
+                apart[: i + 1] = False
+            pairs += [(i, j) for j in np.flatnonzero(apart).tolist()]
+        if not pairs:
+            return []
+        sets: dict[bytes, np.ndarray] = {}
+
+        def of(r: tuple) -> np.ndarray:
+            if r[4] not in sets:
+                data = np.frombuffer(r[7], np.uint8)
+                sets[r[4]] = next(iter(shingle_sets(data, np.array([0, len(data)]), k, _BETWEEN[word])))
+            return sets[r[4]]
+
+        ones, twos = list(dict.fromkeys(i for i, _ in pairs)), list(dict.fromkeys(j for _, j in pairs))
+        at, to = {i: a for a, i in enumerate(ones)}, {j: a for a, j in enumerate(twos)}
+        both = common_counts([of(x[i]) for i in ones], [of(y[j]) for j in twos], [(at[i], to[j]) for i, j in pairs])
+        out = []
+        for (i, j), n in zip(pairs, both):
+            if 100 * n >= similar * (len(of(x[i])) + len(of(y[j])) - n):
+                out.append((x[i][4], y[j][4]))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            bands = batch.column(6).flatten().to_numpy().reshape(len(batch), -1)
+            texts = batch.column(7).cast(pa.large_binary())
+            found = []
+            for row in zip(*(c.to_pylist() for c in batch.columns[:6]), bands, (t.as_buffer() for t in texts)):
+                if held and held[0][:3] != row[:3]:
+                    found += within(held)
+                    held = []
+                held.append(row)
+            yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in found], pa.binary()), pa.array([v for _, v in found], pa.binary())], schema=schema)
+        if held:
+            found = within(held)
+            yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in found], pa.binary()), pa.array([v for _, v in found], pa.binary())], schema=schema)
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, similar: int = SIMILAR, word: str = "space") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
     Rows whose k-word shingle sets have 100 * intersection >= similar * union are linked; component_id is the
     smallest id reachable. Exact copies (equal sets) are one node from the start. Candidates are stars: in every
-    bucket the smallest node is the hub and is compared with each other member, so a bucket of m members gives
-    m - 1 pairs. Only pairs that the stars leave open (two members of one bucket that are still in different
-    components, neither the hub) are then compared too, so no link inside a bucket is lost.
+    bucket the node that meets most others over all buckets is the hub and is compared with each other member, so a
+    bucket of m members gives m - 1 pairs. Buckets whose other members are still in different components are then
+    looked through in blocks of about BLOCK members, so no link inside a bucket is lost and no pairs are shuffled.
     All links are confirmed on full sets, made again from the whole texts.
 
     Null or empty texts have no shingles and link with nothing. Rows with a null id link like others but are never a
@@ -153,8 +231,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = save(docs.select("doc_id", "text", "h").mapInArrow(_sign(k, word), "doc_id long, h long, n long, node binary, bands array<long>"))
     nodes = rows.where("n > 0").dropDuplicates(["node"])
     spread = nodes.select("node", "n", F.explode("bands").alias("bucket"))
-    hubs = spread.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("hub"), F.count("*").alias("m")).where("m > 1")
-    starred = save(spread.join(hubs, "bucket").select("bucket", "node", "n", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), "m"))
+    shared = spread.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
+    shared = save(spread.join(shared, "bucket").select("bucket", "node", "n", "m"))
+    weight = shared.groupBy("node").agg(F.sum("m").alias("w"))
+    hubs = shared.join(weight, "node").groupBy("bucket").agg(F.max(F.struct("w", "node", "n")).alias("hub"))
+    starred = save(shared.join(hubs, "bucket").select("bucket", "node", "n", "m", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")))
+    drop(shared)
     near = lambda a, b: 100 * F.least(a, b) >= similar * F.greatest(a, b)
     stars = save(starred.where(F.col("node") != F.col("hub")).where(near(F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct())
     inside = stars.select(F.col("u").alias("node")).unionByName(stars.select(F.col("v").alias("node"))).distinct()
@@ -167,15 +249,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     chosen = save(texts(inside))
     links = save(_links(stars, chosen, k, word, similar).distinct())
     roots = connected_components(links)
-    left = starred.where("m > 2 and node <> hub").join(roots, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
-    mixed = left.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-    left = left.join(mixed, "bucket")
-    other = left.select("bucket", F.col("node").alias("v"), F.col("n").alias("vn"), F.col("root").alias("vroot"))
-    rest = left.join(other, "bucket").where("node < v and root <> vroot").where(near(F.col("n"), F.col("vn")))
-    rest = save(rest.select(F.col("node").alias("u"), "v").distinct().join(stars, ["u", "v"], "left_anti"))
-    if not rest.isEmpty():
-        links = save(links.unionByName(_links(rest, save(texts(rest.select(F.col("u").alias("node")).unionByName(rest.select(F.col("v").alias("node"))).distinct())), k, word, similar).distinct()))
+    members = starred.where("m > 2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = members.where("node <> hub").groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("bucket", "size")
+    members = save(members.where("node <> hub").join(mixed, "bucket").select("bucket", "node", "root", "size"))
+    if not members.isEmpty():
+        bands = nodes.select("node", "bands").join(members.select("node").distinct(), "node", "left_semi")
+        open_texts = save(texts(members.select("node").distinct()).join(bands, "node"))
+        many = F.ceil(F.col("size") / BLOCK).cast("int")
+        dealt = members.withColumn("own", F.pmod(F.xxhash64("node"), many).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), many - 1)))
+        dealt = dealt.select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "root")
+        groups = dealt.join(open_texts, "node").repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
+        rest = groups.select("bucket", "lo", "hi", "own", "node", "root", "bands", "text").mapInArrow(_open_pairs(k, word, similar), "u binary, v binary")
+        links = save(links.unionByName(rest).distinct())
         roots = connected_components(links)
+        drop(open_texts)
+    drop(members)
     drop(starred)
     drop(chosen)
     placed = rows.select("doc_id", "n", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
