@@ -1 +1 @@
-"""plans"""
+"""Plan helpers: orders, intervals, written tables and the derived inputs of the registered queries."""
