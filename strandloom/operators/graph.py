@@ -46,17 +46,18 @@ def unique_predecessors(edges_: DataFrame, nodes: DataFrame) -> DataFrame:
 def extend(seqs: DataFrame, sa: DataFrame, covered: DataFrame, steps: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     """Covered rows and those reached from them to the left: inside a node always, across an edge where the base has one predecessor.
 
-    Each round takes one step left from the newest rows, and the fixpoint is reached when none is new.
+    Each round goes left to the first base of the newest rows' nodes and over one edge; the fixpoint is reached when none is new.
     """
     preds = written(unique_predecessors(edges(steps), nodes).join(nodes.select(F.col("node_id").alias("pred"), F.length("label").alias("size")), "pred"))
     rows = written(sa.select("row_id", "seq", "pos", "c"))
     known = written(covered.select("row_id", "seq", "pos", "tag"))
     fresh = known
     while not fresh.isEmpty():
-        left = fresh.where("pos > 0").withColumn("node_id", F.shiftright("tag", 11)).withColumn("off", F.expr("tag & 1023"))
-        left = left.join(rows.select("seq", "pos", F.col("c").alias("base")), ["seq", "pos"]).join(preds, ["node_id", "base"], "left")
-        left = left.withColumn("to", F.when(F.col("off") > 0, F.col("tag") - 1).otherwise(F.col("pred") * 2048 + F.col("size") - 1)).where("to is not null")
-        step = left.select("seq", (F.col("pos") - 1).alias("pos"), F.col("to").alias("tag")).join(rows.select("seq", "pos", "row_id"), ["seq", "pos"])
+        left = fresh.select("seq", "pos", F.shiftright("tag", 11).alias("node_id"), (F.col("pos") - F.expr("tag & 1023")).alias("at")).distinct()
+        left = left.join(rows.select("seq", F.col("pos").alias("at"), F.col("c").alias("base")), ["seq", "at"]).join(preds, ["node_id", "base"], "left")
+        inside = left.where("pos > at").withColumn("to", F.explode(F.sequence("at", F.col("pos") - 1))).select("seq", F.col("to").alias("pos"), (F.col("node_id") * 2048 + F.col("to") - F.col("at")).alias("tag"))
+        across = left.where("at > 0 and pred is not null").select("seq", (F.col("at") - 1).alias("pos"), (F.col("pred") * 2048 + F.col("size") - 1).alias("tag"))
+        step = inside.unionByName(across).distinct().join(rows.select("seq", "pos", "row_id"), ["seq", "pos"])
         fresh = written(step.select("row_id", "seq", "pos", "tag").join(known.select("row_id"), "row_id", "left_anti"))
         known = written(known.unionByName(fresh))
     return known

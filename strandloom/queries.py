@@ -186,9 +186,9 @@ def kmers_both(x):
     return tx.kmers_both(x.seqs, K)
 
 
-@_query(f"SELECT seq, pos, kmer FROM (SELECT CAST(item_id AS BIGINT) AS seq, CAST(i AS BIGINT) AS pos, substring(t, CAST(i AS BIGINT) + 1, 4) AS kmer FROM (SELECT item_id, translate(upper(text), 'BDEFHIJKLMOPQRSUVWXYZ', 'ACGTACGTACGTACGTACGTAC') AS t FROM benchmark), LATERAL (SELECT unnest(range(0, length(t) - 3)) AS i)) WHERE regexp_full_match(kmer, '[ACGT]+')")
+@_query(f"SELECT seq, pos, kmer FROM (SELECT CAST(item_id AS BIGINT) AS seq, CAST(i AS BIGINT) AS pos, substring(t, CAST(i AS BIGINT) + 1, 4) AS kmer FROM (SELECT item_id, translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') AS t FROM benchmark), LATERAL (SELECT unnest(range(0, length(t) - 3)) AS i)) WHERE regexp_full_match(kmer, '[ACGT]+')")
 def kmer_valid_filter(x):
-    t = F.translate(F.upper("text"), "BDEFHIJKLMOPQRSUVWXYZ", "ACGTACGTACGTACGTACGTAC")
+    t = F.translate("text", "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC")
     return tx.kmers(x.table("benchmark").select(F.col("item_id").cast("long").alias("seq"), t.alias("t")), 4)
 
 
