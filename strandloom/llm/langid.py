@@ -124,8 +124,8 @@ class Model:
             got = self.onward[state[:n] * self.size + c]
             stuck = got == 0
             if stuck.any():
-                count[:n] += stuck
                 again = self.onward[roots * self.size + c]
+                count[:n] += stuck.astype(np.int64) + (stuck & (again == 0) & (state[:n] != roots))  # a symbol of no training text is a phrase too
                 got = np.where(stuck, np.where(again == 0, roots, again), got)
             state[:n] = got
         count += state != roots
