@@ -43,23 +43,29 @@ def units(x: np.ndarray) -> np.ndarray:
     return (big / np.sqrt((big * big).sum(axis=1, keepdims=True))) @ rotation(x.shape[1])
 
 
-def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """vec_id, the vector's doubles, and 128 bits that stand for them; both null for a vector that links with nothing."""
-    for batch in batches:
+def _nodes(kind: type):
+    """vec_id, 128 bits that stand for the vector, and its values; both null for a vector that links with nothing."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from map(nodes, batches)
+
+    def nodes(batch: pa.RecordBatch) -> pa.RecordBatch:
         vecs, names = [], []
         for v in batch.column(1):
             x = None if v.as_py() is None else v.values
             raw = None
             if x is not None and len(x) and not x.null_count:
-                x = x.to_numpy(zero_copy_only=False).astype(np.float64) + 0.0
+                x = x.to_numpy(zero_copy_only=False).astype(kind) + kind(0)
                 if np.isfinite(x).all() and x.any():
                     raw = x.tobytes()
             vecs.append(raw)
             names.append(None if raw is None else hashlib.blake2b(raw, digest_size=16).digest())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.binary()), pa.array(vecs, pa.binary())], names=["vec_id", "node", "raw"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.binary()), pa.array(vecs, pa.binary())], names=["vec_id", "node", "raw"])
+
+    return run
 
 
-def _spread(cosine: float):
+def _spread(cosine: float, kind: type):
     """Each vector to its own cell (guest false) of every block, and as a guest to the later cells that its radius reaches.
 
     Cells are squares of the block's first two coordinates, as wide as the radius.
@@ -68,10 +74,10 @@ def _spread(cosine: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raws = batch.column(2).to_pylist()
-            dims = np.array([len(r) // 8 for r in raws])
+            dims = np.array([len(r) // np.dtype(kind).itemsize for r in raws])
             for d in np.unique(dims).tolist():
                 at = np.flatnonzero(dims == d)
-                u = units(np.frombuffer(b"".join(raws[k] for k in at.tolist()), np.float64).reshape(len(at), d))
+                u = units(np.frombuffer(b"".join(raws[k] for k in at.tolist()), kind).reshape(len(at), d).astype(np.float64))
                 which, cell0, cell1, part, guest = [], [], [], [], []
                 for b, (lo, hi, budget) in enumerate(blocks(d, cosine)):
                     width = np.sqrt(budget) * (1 + 1e-6) + 1e-9
@@ -116,41 +122,66 @@ class Forest:
             self.label = to[self.label]
 
 
-def _compare(cosine: float):
+def _compare(cosine: float, kind: type):
     schema = pa.schema([("u", pa.binary()), ("v", pa.binary()), ("w", pa.int64())])
 
     def within(rows: list[tuple]) -> pa.RecordBatch:
         d, b, _, _, lo, hi = rows[0][:6]
-        x = np.frombuffer(b"".join(r[10] for r in rows), np.float64).reshape(len(rows), d)
+        first, end, budget = blocks(d, cosine)[b]
+        x = np.frombuffer(b"".join(r[10] for r in rows), kind).reshape(len(rows), d).astype(np.float64)
+        x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])  # exact, and squares stay finite
+        u = units(x)
+        # in order of one more coordinate, only a stretch of it can be near a tile
+        z = u[:, min(first + 2, end - 1)]
+        order = np.argsort(z, kind="stable")
+        rows = [rows[k] for k in order.tolist()]
+        x, u, z = x[order], u[order], z[order]
         own, guest = np.array([r[6] for r in rows]), np.array([r[7] for r in rows])
         copies = np.array([r[9] for r in rows])
-        u = units(x)
         norm = np.sqrt((x * x).sum(axis=1))
         parts = blocks(d, cosine)
-        first, end, budget = parts[b]
-        s = u[:, first:end].astype(np.float32)
-        s2 = (s * s).sum(axis=1)
+        half = ((u[:, first:end] ** 2).sum(axis=1) / 2)[:, None]
+        ones = np.ones_like(half)
+        s, t_ = (np.hstack(cols).astype(np.float32) for cols in ((u[:, first:end], -half, ones), (u[:, first:end], ones, -half)))
+        least, radius = -(budget * (1 + 1e-4) + 1e-5) / 2, np.sqrt(budget) * (1 + 1e-6) + 1e-9
         links, forest = np.zeros(len(rows), np.int64), Forest(len(rows))
-        one, two = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
-        for at in range(0, len(one), TILE):
-            p = one[at : at + TILE]
-            close = s2[p][:, None] + s2[two][None, :] - 2 * (s[p] @ s[two].T) <= budget * (1 + 1e-4) + 1e-5
-            close &= ~(guest[p][:, None] & guest[two][None, :])
-            if lo == hi:
-                close &= p[:, None] < two[None, :]
-            i, j = np.nonzero(close)
-            for a in range(0, len(i), 50_000):
-                q, t = p[i[a : a + 50_000]], two[j[a : a + 50_000]]
-                ok = (x[q] * x[t]).sum(axis=1) / (norm[q] * norm[t]) >= cosine
-                q, t = q[ok], t[ok]
-                if len(q):
-                    gap = (u[q] - u[t]) ** 2
-                    near = np.stack([gap[:, f:e].sum(axis=1) <= most * (1 + 1e-9) + 1e-12 for f, e, most in parts], axis=1)
-                    ok = near.argmax(axis=1) == b  # a pair that more blocks find counts in the first
+
+        def compare(one: np.ndarray, two: np.ndarray, upper: bool) -> None:
+            reach = z[two]
+            right = t_[two]
+            for at in range(0, len(one), TILE):
+                p = one[at : at + TILE]
+                lo_, hi_ = np.searchsorted(reach, z[p[0]] - radius), np.searchsorted(reach, z[p[-1]] + radius, side="right")
+                if upper:
+                    lo_ = max(lo_, at)
+                if hi_ <= lo_:
+                    continue
+                near = np.flatnonzero(s[p] @ right[lo_:hi_].T >= least)
+                i, j = np.divmod(near, hi_ - lo_)
+                for a in range(0, len(i), 50_000):
+                    q, t = p[i[a : a + 50_000]], two[lo_ + j[a : a + 50_000]]
+                    if upper:
+                        q, t = q[q < t], t[q < t]
+                    ok = (x[q] * x[t]).sum(axis=1) / (norm[q] * norm[t]) >= cosine
                     q, t = q[ok], t[ok]
-                    np.add.at(links, q, copies[t])
-                    np.add.at(links, t, copies[q])
-                    forest.join(q, t)
+                    if len(q):
+                        gap = (u[q] - u[t]) ** 2
+                        within_ = np.stack([gap[:, f:e].sum(axis=1) <= most * (1 + 1e-9) + 1e-12 for f, e, most in parts], axis=1)
+                        ok = within_.argmax(axis=1) == b  # a pair that more blocks find counts in the first
+                        q, t = q[ok], t[ok]
+                        np.add.at(links, q, copies[t])
+                        np.add.at(links, t, copies[q])
+                        forest.join(q, t)
+
+        home, visit = (np.flatnonzero((own == lo) & (guest == g)) for g in (False, True))
+        if lo == hi:
+            compare(home, home, True)
+            compare(home, visit, False)
+        else:
+            other, others = (np.flatnonzero((own == hi) & (guest == g)) for g in (False, True))
+            compare(home, other, False)
+            compare(home, others, False)
+            compare(visit, other, False)
         names = [r[8] for r in rows]
         some, joined = np.flatnonzero(links).tolist(), np.flatnonzero(forest.label != np.arange(len(rows))).tolist()
         return pa.RecordBatch.from_arrays([
@@ -181,18 +212,20 @@ def near_vectors(vecs: DataFrame, id_col: str = "vec_id", vec_col: str = "embedd
     Vectors that are null, empty, zero or hold null or non-finite values link with nothing. A row with a null id links like
     others but is a component_id only where no other id is there (null, and kept is false); repeated rows stay.
     """
+    single = vecs.schema[vec_col].dataType.simpleString() == "array<float>"
+    kind = np.float32 if single else np.float64
     rows = save(
-        vecs.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v")).mapInArrow(_nodes, "vec_id long, node binary, raw binary")
+        vecs.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<float>" if single else "array<double>").alias("v")).mapInArrow(_nodes(kind), "vec_id long, node binary, raw binary")
     )
     nodes = save(rows.where("node is not null").groupBy("node").agg(F.count("*").alias("copies"), F.first("raw").alias("raw")))
     key = ["d", "b", "c0", "c1"]
-    spread = nodes.select("node", "copies", "raw").mapInArrow(_spread(cosine), "d long, b long, c0 long, c1 long, guest boolean, node binary, copies long, raw binary")
+    spread = nodes.select("node", "copies", "raw").mapInArrow(_spread(cosine, kind), "d long, b long, c0 long, c1 long, guest boolean, node binary, copies long, raw binary")
     size = spread.groupBy(*key).agg(F.count("*").alias("size"))
     many = F.ceil(F.col("size") / CHUNK).cast("int")
     dealt = spread.join(size, key).withColumn("own", F.pmod(F.xxhash64("node"), many).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), many - 1)))
     dealt = dealt.select(*key, F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "guest", "node", "copies", "raw")
     by = [*key, "lo", "hi"]
-    found = save(dealt.repartition(*by).sortWithinPartitions(*by).mapInArrow(_compare(cosine), "u binary, v binary, w long"))
+    found = save(dealt.repartition(*by).sortWithinPartitions(*by).mapInArrow(_compare(cosine, kind), "u binary, v binary, w long"))
     roots = connected_components(found.where("v is not null").select("u", "v"))
     counts = found.where("v is null").groupBy(F.col("u").alias("node")).agg(F.sum("w").alias("w"))
     placed = nodes.select("node", "copies").join(counts, "node", "left").join(roots, "node", "left")
