@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from strandloom.llm.common import table
 
 #: Distinct chunks a worker remembers between batches; past it the memory is cleared, and chunks are counted anew.
-REMEMBER = 300_000
+REMEMBER = 150_000
 NO_RANK = np.iinfo(np.int64).max
 
 
@@ -190,8 +190,8 @@ class Memory(dict):
         if len(self) > REMEMBER:
             self.clear()
         new = list(words.difference(self))
-        for a in range(0, len(new), 20_000):
-            some = new[a : a + 20_000]
+        for a in range(0, len(new), 10_000):
+            some = new[a : a + 10_000]
             self.update(zip(some, self.make(some)))
 
 
@@ -206,7 +206,7 @@ def _memory(kind: str, path: str, make) -> Memory:
     return _memories[kind, path]
 
 
-def _groups(texts: Iterator[bytes], at_most: int = 4_000_000) -> Iterator[list[list[bytes]]]:
+def _groups(texts: Iterator[bytes], at_most: int = 2_000_000) -> Iterator[list[list[bytes]]]:
     """The chunks of some texts at a time."""
     held, size = [], 0
     for t in texts:

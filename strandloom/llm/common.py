@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -37,6 +38,8 @@ def save(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._saved_at = path
+    gc.collect()  # lets Spark delete the shuffle files of what has just been written
+    spark.sparkContext._jvm.System.gc()
     return out
 
 
@@ -74,7 +77,7 @@ def utf8_parts(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets, raw
 
 
-def pieces(offsets: np.ndarray, at_most: int = 2_000_000):
+def pieces(offsets: np.ndarray, at_most: int = 600_000):
     """Ranges of rows with about at_most bytes; a longer row is alone."""
     a, n = 0, len(offsets) - 1
     while a < n:
