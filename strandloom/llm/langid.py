@@ -17,6 +17,8 @@ from strandloom.llm.common import pieces, table, utf8_parts
 #: Training: at most this many labelled texts and symbols of a language, drawn by a hash of the id; longer texts than
 #: LONGEST bytes are not drawn. Letters past the ALPHABET most frequent are one symbol. CELLS bounds all tables together.
 TEXTS, SYMBOLS, LONGEST, ALPHABET, CELLS = 120, 40_000, 100_000, 62, 24_000_000
+#: Ids of drawn texts that are broadcast.
+DRAWN = 100_000
 #: A text is parsed in stretches of this many symbols, so that many are parsed in step; a phrase ends with its stretch.
 STRETCH = 512
 
@@ -156,6 +158,8 @@ def train(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     d = d.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out & (F.octet_length("text") <= LONGEST))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     drawn = d.select("lang", "doc_id").withColumn("k", F.row_number().over(order)).where(F.col("k") <= TEXTS).drop("k").distinct()
+    if drawn.count() <= DRAWN:  # otherwise, with very many languages, by a sorted join
+        drawn = F.broadcast(drawn)
     texts = defaultdict(list)
     for r in sorted(d.join(drawn, ["lang", "doc_id"], "left_semi").collect(), key=lambda r: (r.lang, r.doc_id, r.text)):
         texts[r.lang].append(r.text)
