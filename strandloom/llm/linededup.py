@@ -7,16 +7,19 @@ Lines are no help where a repeated passage begins inside one, so what is hashed
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import SPACE, U64, LOWER, mix, pieces, save, table, utf8_parts, word_hashes
+from strandloom.llm.common import SPACE, U64, LOWER, drop, mix, pieces, save, table, utf8_parts, word_hashes
 
 #: Any run of REPEAT words that stands twice shares a fingerprint: REPEAT = GRAM + window - 1.
 REPEAT, GRAM = 50, 16
+#: Words of the runs that occurrences are grouped by, round after round; each two of the next size cover what holds one before.
+SIZES = (GRAM, 33, REPEAT)
 WIDTH = REPEAT - GRAM + 1
 _NO_ID = 9223372036854775807
 _STEP, _BITS = 0x9E3779B97F4A7C15, 24
@@ -55,7 +58,19 @@ def _select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in pieces(offsets):
             words, at = word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], SPACE)
             fp, row, pos = fingerprints(words, at)
-            yield pa.RecordBatch.from_arrays([pa.array(fp, pa.int64()), batch.column(0)[a:b].take(pa.array(row)), pa.array(pos.astype(np.int32))], names=["fp", "doc", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(fp, pa.int64()), batch.column(0)[a:b].take(pa.array(row)), pa.array(pos.astype(np.int32))], names=["key", "doc", "pos"])
+
+
+_steps = [np.ones(1, U64), np.ones(1, U64)]
+
+
+def _step_tables(n: int) -> list[np.ndarray]:
+    if len(_steps[0]) < n:
+        for i, base in enumerate((_STEP, pow(_STEP, -1, 1 << 64))):
+            all_ = np.full(n, base, U64)
+            all_[0] = 1
+            _steps[i] = np.cumprod(all_, dtype=U64)
+    return _steps
 
 
 class Sums:
@@ -63,17 +78,19 @@ class Sums:
 
     def __init__(self, raw: bytes):
         data = np.frombuffer(raw, np.uint8)
-        words, _ = word_hashes(data, np.array([0, len(data)]), SPACE)
-        self.n = len(words)
-        up = np.full(self.n + 1, _STEP, U64)
-        up[0] = 1
-        self.up = np.cumprod(up, dtype=U64)
+        self.words, _ = word_hashes(data, np.array([0, len(data)]), SPACE)
+        self.n = len(self.words)
+        self.up, self.down = _step_tables(self.n + 1)
         self.sums = np.zeros(self.n + 1, U64)
-        np.cumsum(words * self.up[: self.n], out=self.sums[1:])
+        np.cumsum(self.words * self.up[: self.n], out=self.sums[1:])
+
+    def keys(self, a: np.ndarray, size: int) -> np.ndarray:
+        """Hashes of the runs of size words from a on."""
+        return mix((self.sums[a + size] - self.sums[a]) * self.down[a] + U64(size)).view(np.int64)
 
     def equal(self, a: np.ndarray, other: Sums, b: np.ndarray, size: np.ndarray) -> np.ndarray:
         mine, theirs = self.sums[a + size] - self.sums[a], other.sums[b + size] - other.sums[b]
-        longer = self.up if self.n >= other.n else other.up
+        longer = _step_tables(max(self.n, other.n) + 1)[0]
         return mine * longer[np.maximum(b - a, 0)] == theirs * longer[np.maximum(a - b, 0)]
 
 
@@ -87,6 +104,21 @@ def reach(t: Sums, p: np.ndarray, s: Sums, q: np.ndarray, sign: int) -> np.ndarr
     return lo
 
 
+def match(t: Sums, p: np.ndarray, s: Sums, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Equal words before and from p and q: along whole diagonals where they are few, else by reach()."""
+    lines = np.unique(p - q)
+    if len(lines) > 8:
+        return reach(t, p, s, q, -1), reach(t, p, s, q, 1)
+    left, right = np.zeros(len(p), np.int64), np.zeros(len(p), np.int64)
+    for d in lines.tolist():
+        a, b = max(d, 0), min(t.n, s.n + d)
+        breaks = np.concatenate([[a - 1], a + np.flatnonzero(t.words[a:b] != s.words[a - d : b - d]), [b]])
+        at = np.flatnonzero(p - q == d)
+        after = np.searchsorted(breaks, p[at])
+        left[at], right[at] = p[at] - breaks[after - 1] - 1, breaks[after] - p[at]
+    return left, right
+
+
 def union(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for a, b in sorted(runs):
@@ -99,34 +131,58 @@ def union(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 _RUNS = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 _RUNS_SQL = "array<struct<a:bigint,b:bigint>>"
+_OPEN = pa.list_(pa.struct([("key", pa.int64()), ("pos", pa.int32())]))
+_OPEN_SQL = "array<struct<key:bigint,pos:int>>"
 
 
-def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc, h, runs: the later repeats in a text of what an earlier place has; equal neighbours are hashed once."""
-    kept: dict[int, tuple[bytes, Sums]] = {}
-
-    def sums(side: int, raw: bytes) -> Sums:
-        if side not in kept or kept[side][0] != raw:
-            kept[side] = (raw, Sums(raw))
-        return kept[side][1]
+def undecided(p: np.ndarray, left: np.ndarray, right: np.ndarray, n: int, size: int, longer: int) -> np.ndarray:
+    """Starts of runs of `longer` words that hold the run of `size` words at p and lie in a window of REPEAT words that the match [p - left, p + right) does not hold.
 
-    schema = pa.schema([("doc", pa.int64()), ("h", pa.int64()), ("runs", _RUNS)])
-    for batch in batches:
-        docs, hs, found = [], [], []
-        texts = [batch.column(k).cast(pa.large_binary()) for k in (3, 4)]
-        for k in range(len(batch)):
-            t, s = sums(0, texts[0][k].as_py()), sums(1, texts[1][k].as_py())
-            places = batch.column(2)[k].values
-            p, q = (places.field(x).to_numpy().astype(np.int64) for x in (0, 1))
-            fits = (p < t.n) & (q < s.n)
-            p, q = p[fits], q[fits]
-            right, left = reach(t, p, s, q, 1), reach(t, p, s, q, -1)
-            long = left + right >= REPEAT
-            if (right[long] > 0).any():
+    Any such window holds the first or the last of these runs, or is one of them.
+    """
+    starts = p[:, None] - (np.array([0, longer - size]) if longer < REPEAT else np.arange(longer - size + 1))
+    # windows around a run begin from start + longer - REPEAT to start
+    first, last = np.maximum(starts + longer - REPEAT, 0), np.minimum(starts, n - REPEAT)
+    outside = (first < (p - left)[:, None]) | (last + REPEAT > (p + right)[:, None])
+    return np.unique(starts[(first <= last) & outside])
+
+
+def _extend(size: int, longer: int | None):
+    """doc, h, runs and open: the later repeats in a text of what an earlier place has, and the (key, pos) of longer runs that
+    other places may share; equal neighbours are hashed once."""
+    schema = pa.schema([("doc", pa.int64()), ("h", pa.int64()), ("runs", _RUNS), ("open", _OPEN)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[int, tuple[bytes, Sums]] = {}
+
+        def sums(side: int, raw: bytes) -> Sums:
+            if side not in kept or kept[side][0] != raw:
+                kept[side] = (raw, Sums(raw))
+            return kept[side][1]
+
+        for batch in batches:
+            docs, hs, found, open_ = [], [], [], []
+            texts = [batch.column(k).cast(pa.large_binary()) for k in (3, 4)]
+            for k in range(len(batch)):
+                t, s = sums(0, texts[0][k].as_py()), sums(1, texts[1][k].as_py())
+                places = batch.column(2)[k].values
+                p, q = (places.field(x).to_numpy().astype(np.int64) for x in (0, 1))
+                fits = (p + size <= t.n) & (q + size <= s.n)
+                p, q = p[fits], q[fits]
+                left, right = match(t, p, s, q)
+                same = right >= size
+                p, right, left = p[same], right[same], left[same]
+                if not len(p):
+                    continue
+                long = left + right >= REPEAT
+                more = undecided(p, left, right, t.n, size, longer) if longer else p[:0]
                 docs.append(batch.column(0)[k].as_py())
                 hs.append(batch.column(1)[k].as_py())
                 found.append([{"a": a, "b": b} for a, b in union(list(zip((p - left)[long].tolist(), (p + right)[long].tolist())))])
-        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(hs, pa.int64()), pa.array(found, _RUNS)], schema=schema)
+                open_.append([{"key": x, "pos": y} for x, y in zip(t.keys(more, longer or size).tolist(), more.tolist())])
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(hs, pa.int64()), pa.array(found, _RUNS), pa.array(open_, _OPEN)], schema=schema)
+
+    return run
 
 
 def cut(raw: bytes, runs: list[tuple[int, int]]) -> tuple[bytes, int, int]:
@@ -168,16 +224,35 @@ def without_runs(text: Column, runs: Column) -> Column:
 def repeated_runs(docs: DataFrame) -> DataFrame:
     """(doc, h, runs) of docs (doc, text, h): in each text, runs of at least REPEAT words that stand at an earlier (doc, word) place too.
 
-    Every occurrence of a fingerprint is compared with its first one only, so pairs grow with the fingerprints.
+    Every occurrence of a fingerprint is compared with its first one. A window of REPEAT words that this match doesn't
+    hold may still stand at another earlier place, so runs of more words around the fingerprint are grouped next, and last
+    the windows themselves: three rounds, and in each the pairs grow with the occurrences, never with their squares.
     """
-    prints = save(docs.select("doc", "text").mapInArrow(_select, "fp long, doc long, pos int"))
-    first = prints.groupBy("fp").agg(F.min(F.struct("doc", "pos")).alias("at"), F.count("*").alias("m")).where("m > 1").select("fp", F.col("at.doc").alias("s"), F.col("at.pos").alias("q"))
-    later = prints.join(first, "fp").where("doc > s or doc = s and pos > q")
-    pairs = save(later.groupBy("doc", "s").agg(F.collect_list(F.struct(F.col("pos").alias("p"), "q")).alias("places")))
-    texts = docs.select(F.col("doc").alias("k"), "text", "h").distinct()
-    both = pairs.join(texts.select(F.col("k").alias("doc"), F.col("text").alias("tt"), "h"), "doc").join(texts.select(F.col("k").alias("s"), F.col("text").alias("ts")), "s")
-    found = both.select("doc", "h", "places", "tt", "ts").mapInArrow(_extend, f"doc long, h long, runs {_RUNS_SQL}")
-    return save(found.groupBy("doc", "h").agg(F.collect_list("runs").alias("runs")))
+    prints = save(docs.select("doc", "text").mapInArrow(_select, "key long, doc long, pos int"))
+    again = save(_shared(prints))
+    drop(prints)
+    # texts are always dealt by sorted joins: alike at every size, and never with a broadcast of what grows
+    held = save(docs.join(again.select("doc").distinct().hint("merge"), "doc", "left_semi").select(F.col("doc").alias("k"), "text", "h"))
+    found = []
+    for size, longer in zip(SIZES, (*SIZES[1:], None)):
+        first = again.groupBy("key").agg(F.min(F.struct("doc", "pos")).alias("at")).select("key", F.col("at.doc").alias("s"), F.col("at.pos").alias("q"))
+        later = again.join(first, "key").where("doc > s or doc = s and pos > q")
+        pairs = save(later.groupBy("doc", "s").agg(F.collect_list(F.struct(F.col("pos").alias("p"), "q")).alias("places")))
+        drop(again)
+        # both joins take the same columns of the texts, so that they are dealt out once
+        both = pairs.hint("merge").join(held.select(F.col("k").alias("doc"), F.col("text").alias("tt"), "h"), "doc").join(held.select(F.col("k").alias("s"), F.col("text").alias("ts"), F.col("h").alias("hs")).hint("merge"), "s")
+        step = save(both.select("doc", "h", "places", "tt", "ts", "hs").mapInArrow(_extend(size, longer), f"doc long, h long, runs {_RUNS_SQL}, open {_OPEN_SQL}"))
+        drop(pairs)
+        found.append(step.where("size(runs) > 0").select("doc", "h", "runs"))
+        if longer:
+            again = save(_shared(step.select("doc", F.explode("open").alias("o")).select("o.key", "doc", "o.pos").distinct()))
+    drop(held)
+    return save(reduce(DataFrame.unionByName, found).groupBy("doc", "h").agg(F.collect_list("runs").alias("runs")))
+
+
+def _shared(places: DataFrame) -> DataFrame:
+    """Places (key, doc, pos) whose key stands more than once."""
+    return places.join(places.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"), "key", "left_semi")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out: str = "cut") -> DataFrame:
@@ -190,7 +265,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     d = docs.drop(out).withColumn("_doc", F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID))).withColumn("_h", F.xxhash64(F.col(text_col).cast("string")))
     runs = repeated_runs(d.select(F.col("_doc").alias("doc"), F.col(text_col).cast("string").alias("text"), F.col("_h").alias("h")))
-    joined = d.join(runs.select(F.col("doc").alias("_doc"), F.col("h").alias("_h"), F.col("runs").alias("_runs")), ["_doc", "_h"], "left")
+    joined = d.join(runs.select(F.col("doc").alias("_doc"), F.col("h").alias("_h"), F.col("runs").alias("_runs")).hint("merge"), ["_doc", "_h"], "left")
     return joined.withColumn(out, without_runs(F.col(text_col).cast("string"), F.col("_runs"))).drop("_doc", "_h", "_runs")
 
 
