@@ -25,16 +25,28 @@ _NO_ID = 9223372036854775807
 _STEP, _BITS = 0x9E3779B97F4A7C15, 24
 
 
+_steps = [np.ones(1, U64), np.ones(1, U64)]
+
+
+def _step_tables(n: int) -> list[np.ndarray]:
+    if len(_steps[0]) < n:
+        for i, base in enumerate((_STEP, pow(_STEP, -1, 1 << 64))):
+            all_ = np.full(n, base, U64)
+            all_[0] = 1
+            _steps[i] = np.cumprod(all_, dtype=U64)
+    return _steps
+
+
 def fingerprints(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, row, word position) of each selected run: the smallest of some WIDTH runs in a row, of equal ones the last."""
     n = len(words) - GRAM + 1
     none = np.zeros(0, np.int64)
     if n < WIDTH:
         return none, none, none
-    grams = np.zeros(n, U64)
-    for j in range(GRAM):
-        grams = grams * U64(_STEP) + words[j : j + n]
-    grams = mix(grams)
+    up, down = _step_tables(len(words) + 1)
+    sums = np.zeros(len(words) + 1, U64)
+    np.cumsum(words * up[: len(words)], out=sums[1:])
+    grams = mix((sums[GRAM:] - sums[:n]) * down[:n])
     pos = np.arange(n, dtype=U64)
     least = (grams >> U64(_BITS) << U64(_BITS)) | (U64((1 << _BITS) - 1) - (pos & U64((1 << _BITS) - 1)))
     size = 1
@@ -61,18 +73,6 @@ def _select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(fp, pa.int64()), batch.column(0)[a:b].take(pa.array(row)), pa.array(pos.astype(np.int32))], names=["key", "doc", "pos"])
 
 
-_steps = [np.ones(1, U64), np.ones(1, U64)]
-
-
-def _step_tables(n: int) -> list[np.ndarray]:
-    if len(_steps[0]) < n:
-        for i, base in enumerate((_STEP, pow(_STEP, -1, 1 << 64))):
-            all_ = np.full(n, base, U64)
-            all_[0] = 1
-            _steps[i] = np.cumprod(all_, dtype=U64)
-    return _steps
-
-
 class Sums:
     """Prefix sums by which any two runs of words are compared at once."""
 
@@ -229,13 +229,14 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     the windows themselves: three rounds, and in each the pairs grow with the occurrences, never with their squares.
     """
     prints = save(docs.select("doc", "text").mapInArrow(_select, "key long, doc long, pos int"))
-    again = save(_shared(prints))
+    twice = prints.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
+    again = save(prints.join(twice, "key", "left_semi"))
     drop(prints)
     # texts are always dealt by sorted joins: alike at every size, and never with a broadcast of what grows
     held = save(docs.join(again.select("doc").distinct().hint("merge"), "doc", "left_semi").select(F.col("doc").alias("k"), "text", "h"))
     found = []
     for size, longer in zip(SIZES, (*SIZES[1:], None)):
-        first = again.groupBy("key").agg(F.min(F.struct("doc", "pos")).alias("at")).select("key", F.col("at.doc").alias("s"), F.col("at.pos").alias("q"))
+        first = again.groupBy("key").agg(F.min(F.struct("doc", "pos")).alias("at"), F.count("*").alias("m")).where("m > 1").select("key", F.col("at.doc").alias("s"), F.col("at.pos").alias("q"))
         later = again.join(first, "key").where("doc > s or doc = s and pos > q")
         pairs = save(later.groupBy("doc", "s").agg(F.collect_list(F.struct(F.col("pos").alias("p"), "q")).alias("places")))
         drop(again)
@@ -245,16 +246,11 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
         drop(pairs)
         found.append(step.where("size(runs) > 0").select("doc", "h", "runs"))
         if longer:
-            again = save(_shared(step.select("doc", F.explode("open").alias("o")).select("o.key", "doc", "o.pos").distinct()))
+            again = step.select("doc", F.explode("open").alias("o")).select("o.key", "doc", "o.pos")
     drop(held)
     return save(reduce(DataFrame.unionByName, found).groupBy("doc", "h").agg(F.collect_list("runs").alias("runs")))
 
 
-def _shared(places: DataFrame) -> DataFrame:
-    """Places (key, doc, pos) whose key stands more than once."""
-    return places.join(places.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"), "key", "left_semi")
-
-
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out: str = "cut") -> DataFrame:
     """docs with a struct column out (text, n_words, n_removed): the text without later repeats.
 
