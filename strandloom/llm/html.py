@@ -1,31 +1,31 @@
 """Main text of web pages by wrappers inferred per host.
 
-The token streams of some pages of a host are aligned one after another. Runs that repeat become repeated groups, tokens
-that only some pages have become optional groups, and text that differs becomes a slot: a union-free regular expression. Its slots
-say which element of the host's pages holds the article; every page is then read by its host's wrapper.
+All pages of a host are grouped by template, the set of paths of their containers. In each template, blocks whose text differs between
+pages are slots; the slots say which element holds the article, and every page is then read by its template's path. infer() shows
+some pages as one expression: runs that repeat are repeated groups, tokens that only some pages have are optional groups.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
-import json
+import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from difflib import SequenceMatcher
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandloom.llm.common import save, table
 
-#: Pages a wrapper is inferred from, one of each residue of a hash, none longer than LONGEST characters.
-SAMPLE, LONGEST = 6, 60_000
+#: When a block is a slot, see wrappers().
+TWENTY, FEW = 20, 6
 #: Longest unit of a repeated group, in tokens.
 UNIT = 8
-#: Wrappers are broadcast up to this many hosts (each has at most PATH characters); beyond, pages are joined to them.
+#: Wrappers are broadcast up to this many and PATH characters of each on average; beyond, pages are joined to them.
 HOSTS, PATH = 20_000, 400
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -36,6 +36,10 @@ MARKS = frozenset(
 )
 #: Elements that run on in a line; every other tag ends a block.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rp rt s samp small span strike strong sub sup time tt u var wbr".split())
+#: Elements inside a text; all others are containers, whose paths tell templates apart.
+CONTENT = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre figure figcaption picture audio video table caption colgroup thead tbody tfoot tr td th address details summary hgroup fieldset legend center".split())
+OUTLINE = "struct<template:bigint,blocks:array<struct<path:array<string>,text:bigint,chars:bigint,article:array<string>,main:array<string>>>>"
+BLOCKS = pa.list_(pa.struct([("path", pa.list_(pa.string())), ("text", pa.int64()), ("chars", pa.int64()), ("article", pa.list_(pa.string())), ("main", pa.list_(pa.string()))]))
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|iframe|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
@@ -182,25 +186,43 @@ def expression(wrapper: list[Node]) -> str:
     return " ".join(map(one, wrapper))
 
 
-def article_path(wrapper: list[Node]) -> tuple[str, ...]:
-    """The element that holds the article: an article or main element with text, else the deepest one that has most of the text in slots and groups."""
-    walk, weight, named = Walk(), {}, []
-    for n in wrapper:
-        for k in n.key[1] if n.key[0] == "+" else (n.key,):
-            if k[0] == "#":
-                continue
-            kind, lab = ("close", k[0][2:]) if k[0].startswith("</") else ("open", k[0][1:])
-            walk.step(kind, lab.split(".")[0], lab.partition(".")[2].replace(".", " "))
-            if kind == "open" and lab.split(".")[0] in ("article", "main") and walk.path() not in named:
-                named.append(walk.path())
-        if n.chars and not walk.skipped() and (n.slot or n.key[0] == "+"):
-            path = walk.path()
-            for k in range(len(path) + 1):
-                weight[path[:k]] = weight.get(path[:k], 0) + n.chars
-    if named := [p for p in named if weight.get(p)]:
-        return max(named, key=lambda p: (p[-1].startswith("article"), weight[p]))
-    total = weight.get((), 0)
-    return max((p for p, w in weight.items() if w >= 0.8 * total), key=len, default=())
+def container(path: tuple[str, ...]) -> tuple[str, ...]:
+    """The path up to its last element that isn't a paragraph, heading, list, table cell or the like."""
+    n = len(path)
+    while n and path[n - 1].split(".")[0] in CONTENT:
+        n -= 1
+    return path[:n]
+
+
+def digest(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+
+
+def outer(path: tuple[str, ...], name: str) -> list[str] | None:
+    """The path up to its outermost element of that name."""
+    return next((list(path[: k + 1]) for k, x in enumerate(path) if x.split(".")[0] == name), None)
+
+
+def outline(page: str) -> tuple[int, list[dict]]:
+    """The template of a page (a digest of the paths of its containers) and its blocks with text: path, digest of the text, characters."""
+    walk, boxes, texts = Walk(), set(), {}
+    for kind, name, words in tokens(page):
+        if kind == "text":
+            if not walk.skipped() and (text := " ".join(name.split())):
+                path = walk.path()
+                n = len(path)
+                while n and path[n - 1].split(".")[0] in INLINE:
+                    n -= 1
+                texts.setdefault(path[:n], []).append(text)
+            continue
+        walk.step(kind, name, words)
+        if kind == "open" and name not in INLINE and name not in CONTENT and name not in VOID and not walk.skipped():
+            boxes.add("/".join(walk.path()))
+    blocks = []
+    for path, parts in texts.items():
+        text = " ".join(parts)
+        blocks.append({"path": list(path), "text": digest(text), "chars": len(text), "article": outer(path, "article"), "main": outer(path, "main")})
+    return digest("\n".join(sorted(boxes))), blocks
 
 
 def main_text(page: str, path: tuple[str, ...] = ()) -> str:
@@ -235,15 +257,40 @@ def _host(url):
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """host, path (JSON) and expr for each host of pages (host, page_id, html); at most SAMPLE pages of a host are moved."""
-    salt = F.pmod(F.xxhash64("page_id", "html"), F.lit(SAMPLE))
-    drawn = pages.where(F.length("html") <= LONGEST).groupBy("host", salt.alias("salt")).agg(F.min_by("html", F.xxhash64("html", "page_id")).alias("html"))
-
-    def make(some: pd.DataFrame) -> pd.DataFrame:
-        wrapper = infer(list(some.sort_values("salt")["html"]))
-        return pd.DataFrame({"host": [some["host"].iloc[0]], "path": [json.dumps(article_path(wrapper))], "expr": [expression(wrapper)]})
+    """host, template and path for each template of a host, from all of pages (host, html); equal pages count once.
 
-    return drawn.where("html is not null").groupBy("host").applyInPandas(make, "host string, path string, expr string")
+    A block is a slot where more than one in TWENTY pages of the template differ from the most frequent text, and in a template of under FEW
+    pages also where most texts of that path on the host differ. The path is the article or main element with most text in
+    slots, else the deepest container that holds all slots.
+    """
+    @F.arrow_udf(OUTLINE)
+    def shape(cols: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for col in cols:
+            got = [outline(h.as_py() or "") for h in col]
+            yield pa.StructArray.from_arrays([pa.array([t for t, _ in got], pa.int64()), pa.array([b for _, b in got], BLOCKS)], names=["template", "blocks"])
+
+    once = pages.select("host", F.xxhash64("html").alias("page"), shape(F.col("html")).alias("o")).select("host", "page", "o.*")
+    once = once.groupBy("host", "page", "template").agg(F.first("blocks").alias("blocks"))
+    texts = once.select("host", "template", F.explode("blocks").alias("b")).groupBy("host", "template", "b.path", "b.text").agg(F.count("*").alias("n"), F.sum("b.chars").alias("chars"), F.first("b.article").alias("article"), F.first("b.main").alias("main"))
+    texts = save(texts)
+    size = ["host", "template", "path"]
+    blocks = texts.groupBy(*size).agg(F.sum("n").alias("n"), F.max("n").alias("top"), F.sum("chars").alias("chars"), F.first("article").alias("article"), F.first("main").alias("main"))
+    hosts = texts.groupBy("host", "path", "text").agg(F.sum("n").alias("n")).groupBy("host", "path").agg(F.sum("n").alias("all_n"), F.count("*").alias("kinds"))
+    differs = TWENTY * (F.col("n") - F.col("top")) > F.col("n")
+    slots = blocks.where(differs)
+    pages_n = F.max("n").over(Window.partitionBy("host", "template"))
+    few = blocks.withColumn("pages_n", pages_n).where(~differs & (F.col("pages_n") < FEW)).drop("pages_n").join(hosts, ["host", "path"]).where(2 * F.col("kinds") > F.col("all_n")).select(*slots.columns)
+    keys = ["host", "template"]
+    part = slots.unionByName(few).groupBy(*keys, "article", "main").agg(F.sum("chars").alias("chars"), F.min("path").alias("lo"), F.max("path").alias("hi"))
+    ends = part.groupBy(*keys).agg(
+        F.max_by("article", F.when(F.col("article").isNotNull(), F.col("chars"))).alias("article"), F.max_by("main", F.when(F.col("main").isNotNull(), F.col("chars"))).alias("main"), F.min("lo").alias("lo"), F.max("hi").alias("hi")
+    )
+
+    @F.arrow_udf("array<string>")
+    def shared(los: pa.Array, his: pa.Array) -> pa.Array:
+        return pa.array([container(tuple(os.path.commonprefix([a, b]))) for a, b in zip(los.to_pylist(), his.to_pylist())], pa.list_(pa.string()))
+
+    return ends.select(*keys, F.coalesce("article", "main", shared(F.col("lo"), F.col("hi"))).alias("path"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -254,17 +301,25 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """
     p = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     p = p.withColumn("host", _host(F.col("url")))
-    known = save(wrappers(p)).select("host", F.when(F.length("path") <= PATH, F.col("path")).alias("path"))
-    if known.limit(HOSTS + 1).count() <= HOSTS:
-        joined = p.join(F.broadcast(known), "host", "left")
-    else:  # a hot host is dealt out by a salt
+    known = save(wrappers(p))
+    broad = known.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length(F.concat_ws("/", "path"))), F.lit(0)).alias("size")).first()
+
+    @F.arrow_udf("long")
+    def template(cols: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for html in cols:
+            yield pa.array([outline(h.as_py() or "")[0] for h in html], pa.int64())
+
+    p = p.withColumn("template", template(F.col("html")))
+    if broad.n <= HOSTS and broad.size <= HOSTS * PATH:
+        joined = p.join(F.broadcast(known), ["host", "template"], "left")
+    else:  # a hot template is dealt out by a salt
         salts = F.explode(F.sequence(F.lit(0), F.lit(31)))
-        joined = p.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(32)).cast("int")).join(known.withColumn("salt", salts), ["host", "salt"], "left")
+        joined = p.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(32)).cast("int")).join(known.withColumn("salt", salts), ["host", "template", "salt"], "left")
 
     @F.arrow_udf("string")
     def read(cols: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for html, path in cols:
-            yield pa.array([main_text(h.as_py() or "", tuple(json.loads(q.as_py() or "[]"))) for h, q in zip(html, path)], pa.string())
+            yield pa.array([main_text(h.as_py() or "", tuple(q or ())) for h, q in zip(html, path.to_pylist())], pa.string())
 
     done = joined.select("page_id", "url", read(F.col("html"), F.col("path")).alias("text"))
     return done.withColumn("n_chars", F.length("text").cast("long"))

@@ -330,6 +330,21 @@ def test_wrapper_has_groups_options_and_slots():
     pages = [f"<body><ul>{'<li>x</li>' * k}</ul><p>v{k}</p>{'<hr>' * (k == 3)}<i>same</i></body>" for k in (2, 3, 4)]
     assert html.expression(html.infer(pages)) == "<body <ul ( <li #text </li )+ </ul <p #text </p ( <hr )? ( </hr )? <i 'same' </i </body"
 
+def test_each_template_of_a_host_has_its_own_wrapper(spark):
+    rows, want = [], {}
+    for n in range(60):
+        top = "<header><h2>Site</h2></header><nav>menu</nav>"
+        text = f"first {n} {'x' * (n + 1)}"
+        if n % 10 < 7:
+            page = f"<body>{top}<div id='story'><h1>Title {n}</h1><div class='body'><p>{text * 9}</p></div><p>Written by us</p></div></body>"
+            want[n] = f"Title {n} {text * 9} Written by us"
+        else:
+            page = f"<body>{top}<div id='page'><div class='entry'><h2>Head {n}</h2><p>{text * 9}</p><ul><li>last {n}</li></ul></div></div></body>"
+            want[n] = f"Head {n} {text * 9} last {n}"
+        rows.append((n, f"http://d.example/{n}", page))
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
 
 # 10
 
