@@ -15,8 +15,11 @@ from pyspark.sql import functions as F
 from strandloom.llm.common import pieces, table, utf8_parts
 
 #: Training: at most this many labelled texts and symbols of a language, drawn by a hash of the id; longer texts than
-#: LONGEST bytes are not drawn. Letters past the ALPHABET most frequent are one symbol. CELLS bounds all tables together.
-TEXTS, SYMBOLS, LONGEST, ALPHABET, CELLS = 120, 40_000, 100_000, 62, 24_000_000
+#: LONGEST bytes are not drawn. CELLS bounds all tables together.
+TEXTS, SYMBOLS, LONGEST, CELLS = 120, 40_000, 100_000, 24_000_000
+#: Up to ALPHABET letters have a symbol each. Of more, as many as leave room for HEADS and TAILS have one, all others are
+#: spelled as a head and one to three tails, enough for every letter there is; a spelling begins nowhere but at its head.
+ALPHABET, HEADS, TAILS = 62, 16, 24
 #: Ids of drawn texts that are broadcast.
 DRAWN = 100_000
 #: A text is parsed in stretches of this many symbols, so that many are parsed in step; a phrase ends with its stretch.
@@ -57,12 +60,24 @@ def suffix_table(symbols: np.ndarray, size: int) -> np.ndarray:
 
 
 def symbol_table(letters: list[str]) -> np.ndarray:
-    """A symbol for every code point: 0 for what is no letter, 1 for a letter that is not listed."""
-    out = np.fromiter((chr(i).isalpha() for i in range(0x110000)), np.uint8, 0x110000)
-    for k, c in enumerate(letters, 2):
+    """Symbols for every code point, a byte each from the lowest: 0 for what is no letter, 1 for a letter that is not listed."""
+    out = np.fromiter((chr(i).isalpha() for i in range(0x110000)), np.uint32, 0x110000)
+    alone = len(letters) if len(letters) <= ALPHABET else ALPHABET - HEADS - TAILS
+    tails = 1
+    while HEADS * TAILS**tails < len(letters) - alone:
+        tails += 1
+    for k, c in enumerate(letters):
+        if k < alone:
+            spelled = k + 2
+        else:
+            rest, spelled = k - alone, 0
+            for _ in range(tails):
+                rest, tail = divmod(rest, TAILS)
+                spelled = spelled << 8 | alone + 2 + HEADS + tail
+            spelled = spelled << 8 | alone + 2 + rest
         for x in {c, c.upper()}:
             if len(x) == 1:
-                out[ord(x)] = k
+                out[ord(x)] = spelled
     return out
 
 
@@ -71,7 +86,23 @@ def symbols_of(raw: bytes, table_: np.ndarray) -> np.ndarray:
     got = table_[np.frombuffer(raw.decode("utf-8", "replace").encode("utf-32-le", "replace"), np.uint32)]
     keep = got > 0
     keep[1:] |= got[:-1] > 0
-    return got[keep]
+    got = got[keep]
+    if not len(got) or got.max() < 256:
+        return got.astype(np.uint8)
+    each = got.astype("<u4").view(np.uint8).reshape(-1, 4)
+    there = each > 0
+    there[:, 0] = True
+    return each[there]
+
+
+def in_turn(sizes: list[int], most: int) -> list[int]:
+    """How much of each is taken if all give one after another until there are most."""
+    out, left = [0] * len(sizes), most
+    order = sorted(range(len(sizes)), key=lambda k: (sizes[k], k))
+    for n, k in enumerate(order):
+        out[k] = min(sizes[k], left // (len(order) - n))
+        left -= out[k]
+    return out
 
 
 _built: dict[str, "Model"] = {}
@@ -82,12 +113,15 @@ class Model:
 
     def __init__(self, texts: dict[str, list[str]]):
         counts = Counter(c for ts in texts.values() for t in ts for c in t.lower() if c.isalpha())
-        self.letters = [c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:ALPHABET]]
+        self.letters = [c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))]
         self.langs = sorted(k for k, ts in texts.items() if any(c.isalpha() for t in ts for c in t))
-        self.size = len(self.letters) + 2
+        self.size = min(len(self.letters), ALPHABET) + 2
         most = min(SYMBOLS, CELLS // (2 * self.size * max(1, len(self.langs))))
         known = symbol_table(self.letters)
-        self.seqs = [np.concatenate([symbols_of(t.encode("utf-8", "replace"), known) for t in texts[k]])[:most] for k in self.langs]
+        self.seqs = []
+        for k in self.langs:
+            drawn = [symbols_of(t.encode("utf-8", "replace"), known) for t in texts[k]]
+            self.seqs.append(np.concatenate([t[:n] for t, n in zip(drawn, in_turn([len(t) for t in drawn], most))]))
         self.key = uuid.uuid4().hex
 
     def built(self) -> "Model":

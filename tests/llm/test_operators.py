@@ -300,6 +300,27 @@ def test_phrases_of_a_text_by_hand():
     assert m.phrases([text]).tolist() == [[3, 6]]
 
 
+def test_languages_of_rare_scripts(spark):
+    rng, rows, want = random.Random(8), [], {}
+    for base, lang in ((0x61, "aa"), (0x3B1, "bb"), (0x430, "cc"), (0x561, "dd"), (0x10D0, "ee"), (0x5D0, "ff"), (0x4E00, "gg"), (0x5E00, "hh")):
+        for _ in range(40 if lang == "aa" else 12):
+            i = len(rows)
+            text = " ".join("".join(chr(base + rng.randrange(24 if base < 0x4E00 else 900)) for _ in range(4)) for _ in range(900 if lang == "aa" else 60))
+            rows.append((i, text, lang))
+            want[i] = lang
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert any(r.held_out for r in got) and all(r.lang_pred == want[r.doc_id] for r in got if r.held_out)
+
+
+def test_spellings_differ_and_every_drawn_text_counts(monkeypatch):
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 5000)]
+    known = langid.symbol_table(letters)
+    assert len({langid.symbols_of(c.encode(), known).tobytes() for c in letters}) == 5000
+    monkeypatch.setattr(langid, "SYMBOLS", 20)
+    m = langid.Model({"x": ["a" * 50, "bc"], "y": ["d" * 50]})
+    assert len(m.seqs[0]) == 20 and len(set(m.seqs[0].tolist())) == 3
+
+
 # 9
 
 PAGE = """<!DOCTYPE html><html><head><title>t{n}</title><style>p{{}}</style><script>var a="</p>";</script></head><body>
