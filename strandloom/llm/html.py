@@ -29,24 +29,27 @@ UNIT = 8
 HOSTS, PATH = 20_000, 400
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements that hold no article text, and words of class or id that mark them.
+#: Elements that hold no article text, and whole words of class, id or role that mark others. Elements in UNMARKED hold the
+#: page or the article and are never marked; the id of one in NAMED is an anchor and doesn't mark it.
 OUTSIDE = frozenset("head nav aside footer form script style noscript template iframe svg button select textarea object canvas dialog menu".split())
 MARKS = frozenset(
     "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer gdpr masthead menu menus nav navbar navigation newsletter notice notices popup promo related reply replies share sharing sidebar sidebars social sponsor sponsored subscribe toolbar widget".split()
 )
+UNMARKED = frozenset("html body main article".split())
+NAMED = frozenset("h1 h2 h3 h4 h5 h6 section".split())
 #: Elements that run on in a line; every other tag ends a block.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rp rt s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements inside a text; all others are containers, whose paths tell templates apart.
 CONTENT = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre figure figcaption picture audio video table caption colgroup thead tbody tfoot tr td th address details summary hgroup fieldset legend center".split())
-OUTLINE = "struct<template:bigint,blocks:array<struct<path:array<string>,text:bigint,chars:bigint,article:array<string>,main:array<string>>>>"
-BLOCKS = pa.list_(pa.struct([("path", pa.list_(pa.string())), ("text", pa.int64()), ("chars", pa.int64()), ("article", pa.list_(pa.string())), ("main", pa.list_(pa.string()))]))
+OUTLINE = "struct<template:bigint,blocks:array<struct<path:array<string>,marked:boolean,text:bigint,chars:bigint,article:array<string>,main:array<string>>>>"
+BLOCKS = pa.list_(pa.struct([("path", pa.list_(pa.string())), ("marked", pa.bool_()), ("text", pa.int64()), ("chars", pa.int64()), ("article", pa.list_(pa.string())), ("main", pa.list_(pa.string()))]))
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|iframe|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, str]]:
-    """("text", raw text, ""), ("open", name, class and id words) and ("close", name, ""); scripts, styles and comments are left out."""
+    """("text", raw text, ""), ("open", name, class and id words, each with # before it in an anchor) and ("close", name, ""); scripts, styles and comments are left out."""
     at = 0
     for m in _TOKEN.finditer(page):
         if m.start() > at:
@@ -57,7 +60,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
             if m[2]:
                 yield "close", name, ""
             else:
-                words = " ".join(next(filter(None, x.groups()[1:]), "") for x in _ATTR.finditer(m[4])).lower() if m[4] else ""
+                words = " ".join(("#" if name in NAMED and x[1].lower() == "id" else "") + next(filter(None, x.groups()[1:]), "") for x in _ATTR.finditer(m[4])).lower() if m[4] else ""
                 yield "open", name, words
                 if name in VOID or m[4].endswith("/") and name not in INLINE and name != "p":
                     yield "close", name, ""
@@ -65,21 +68,21 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
         yield "text", page[at:], ""
 
 
-def outside(name: str, words: str) -> bool:
-    return name in OUTSIDE or bool(words) and not MARKS.isdisjoint(_SPLIT.split(words))
+def marked(name: str, words: str) -> bool:
+    return bool(words) and name not in UNMARKED and not MARKS.isdisjoint(words.split())
 
 
 class Walk:
     """The open elements, as tags come; unclosed ones end with what holds them, and a paragraph with the next."""
 
     def __init__(self):
-        self.open: list[tuple[str, str, bool]] = []
+        self.open: list[tuple[str, str, bool, bool]] = []
 
     def step(self, kind: str, name: str, words: str) -> None:
         if kind == "open":
             if name in ("p", "li", "tr", "td", "th", "dt", "dd", "option") and any(x[0] == name for x in self.open[-3:]):
                 self._close(name)
-            self.open.append((name, label(name, words), outside(name, words)))
+            self.open.append((name, label(name, words), name in OUTSIDE, marked(name, words)))
         elif kind == "close" and any(x[0] == name for x in self.open):
             self._close(name)
 
@@ -90,8 +93,9 @@ class Walk:
     def path(self) -> tuple[str, ...]:
         return tuple(x[1] for x in self.open)
 
-    def skipped(self) -> bool:
-        return any(x[2] for x in self.open)
+    def skipped(self, holds: int = 0) -> bool:
+        """Inside what holds no article text; the first elements, as many as holds, hold the article, whatever their class."""
+        return any(x[2] for x in self.open) or any(x[3] for x in self.open[holds:])
 
 
 def label(name: str, words: str) -> str:
@@ -204,38 +208,39 @@ def outer(path: tuple[str, ...], name: str) -> list[str] | None:
 
 
 def outline(page: str) -> tuple[int, list[dict]]:
-    """The template of a page (a digest of the paths of its containers) and its blocks with text: path, digest of the text, characters."""
+    """The template of a page (a digest of the paths of its containers) and its blocks with text: path, whether it is in a marked element, digest of the text, characters."""
     walk, boxes, texts = Walk(), set(), {}
     for kind, name, words in tokens(page):
         if kind == "text":
-            if not walk.skipped() and (text := " ".join(name.split())):
+            if not walk.skipped(len(walk.open)) and (text := " ".join(name.split())):
                 path = walk.path()
                 n = len(path)
                 while n and path[n - 1].split(".")[0] in INLINE:
                     n -= 1
-                texts.setdefault(path[:n], []).append(text)
+                texts.setdefault((path[:n], walk.skipped()), []).append(text)
             continue
         walk.step(kind, name, words)
         if kind == "open" and name not in INLINE and name not in CONTENT and name not in VOID and not walk.skipped():
             boxes.add("/".join(walk.path()))
     blocks = []
-    for path, parts in texts.items():
+    for (path, inside), parts in texts.items():
         text = " ".join(parts)
-        blocks.append({"path": list(path), "text": digest(text), "chars": len(text), "article": outer(path, "article"), "main": outer(path, "main")})
+        blocks.append({"path": list(path), "marked": inside, "text": digest(text), "chars": len(text), "article": outer(path, "article"), "main": outer(path, "main")})
     return digest("\n".join(sorted(boxes))), blocks
 
 
 def main_text(page: str, path: tuple[str, ...] = ()) -> str:
-    """The text inside the element at path; a page without it is read by its own article or main element, else whole but for what is outside()."""
+    """The text inside the element at path; a page without it is read by its own article or main element, else whole but for what is skipped()."""
     found: dict[str, list[str]] = {"wrapper": [], "article": [], "main": [], "page": []}
     walk = Walk()
     for kind, name, words in tokens(page):
         if kind == "text":
-            if name and not walk.skipped():
-                text = entities.unescape(name) if "&" in name else name
-                here = walk.path()
-                if path and here[: len(path)] == path:
-                    found["wrapper"].append(text)
+            if not name:
+                continue
+            text = entities.unescape(name) if "&" in name else name
+            if path and walk.path()[: len(path)] == path and not walk.skipped(len(path)):
+                found["wrapper"].append(text)
+            if not walk.skipped():
                 tags = {x[0] for x in walk.open}
                 for k in ("article", "main"):
                     if k in tags:
@@ -261,7 +266,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
 
     A block is a slot where more than one in TWENTY pages of the template differ from the most frequent text, and in a template of under FEW
     pages also where most texts of that path on the host differ. The path is the article or main element with most text in
-    slots, else the deepest container that holds all slots.
+    slots, else the deepest container that holds all slots; slots in marked elements count where there are no others.
     """
     @F.arrow_udf(OUTLINE)
     def shape(cols: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -271,17 +276,18 @@ def wrappers(pages: DataFrame) -> DataFrame:
 
     once = pages.select("host", F.xxhash64("html").alias("page"), shape(F.col("html")).alias("o")).select("host", "page", "o.*")
     once = once.groupBy("host", "page", "template").agg(F.first("blocks").alias("blocks"))
-    texts = once.select("host", "template", F.explode("blocks").alias("b")).groupBy("host", "template", "b.path", "b.text").agg(F.count("*").alias("n"), F.sum("b.chars").alias("chars"), F.first("b.article").alias("article"), F.first("b.main").alias("main"))
+    texts = once.select("host", "template", F.explode("blocks").alias("b")).groupBy("host", "template", "b.path", "b.marked", "b.text").agg(F.count("*").alias("n"), F.sum("b.chars").alias("chars"), F.first("b.article").alias("article"), F.first("b.main").alias("main"))
     texts = save(texts)
-    size = ["host", "template", "path"]
+    size = ["host", "template", "path", "marked"]
     blocks = texts.groupBy(*size).agg(F.sum("n").alias("n"), F.max("n").alias("top"), F.sum("chars").alias("chars"), F.first("article").alias("article"), F.first("main").alias("main"))
-    hosts = texts.groupBy("host", "path", "text").agg(F.sum("n").alias("n")).groupBy("host", "path").agg(F.sum("n").alias("all_n"), F.count("*").alias("kinds"))
+    hosts = texts.groupBy("host", "path", "marked", "text").agg(F.sum("n").alias("n")).groupBy("host", "path", "marked").agg(F.sum("n").alias("all_n"), F.count("*").alias("kinds"))
     differs = TWENTY * (F.col("n") - F.col("top")) > F.col("n")
     slots = blocks.where(differs)
     pages_n = F.max("n").over(Window.partitionBy("host", "template"))
-    few = blocks.withColumn("pages_n", pages_n).where(~differs & (F.col("pages_n") < FEW)).drop("pages_n").join(hosts, ["host", "path"]).where(2 * F.col("kinds") > F.col("all_n")).select(*slots.columns)
+    few = blocks.withColumn("pages_n", pages_n).where(~differs & (F.col("pages_n") < FEW)).drop("pages_n").join(hosts, ["host", "path", "marked"]).where(2 * F.col("kinds") > F.col("all_n")).select(*slots.columns)
     keys = ["host", "template"]
-    part = slots.unionByName(few).groupBy(*keys, "article", "main").agg(F.sum("chars").alias("chars"), F.min("path").alias("lo"), F.max("path").alias("hi"))
+    part = slots.unionByName(few).groupBy(*keys, "marked", "article", "main").agg(F.sum("chars").alias("chars"), F.min("path").alias("lo"), F.max("path").alias("hi"))
+    part = part.withColumn("first", F.min("marked").over(Window.partitionBy(*keys))).where(F.col("marked") == F.col("first"))
     ends = part.groupBy(*keys).agg(
         F.max_by("article", F.when(F.col("article").isNotNull(), F.col("chars"))).alias("article"), F.max_by("main", F.when(F.col("main").isNotNull(), F.col("chars"))).alias("main"), F.min("lo").alias("lo"), F.max("hi").alias("hi")
     )

@@ -367,6 +367,22 @@ def test_each_template_of_a_host_has_its_own_wrapper(spark):
     assert got == want
 
 
+def test_marks_are_whole_words_and_never_on_what_holds_the_article(spark):
+    rows, want = [], {}
+    for n in range(8):
+        part = f"<h2 id='related'>Work {n}</h2><section id='social-effects'><p class='notice-of-sale'>sold {n}</p></section><section id='comments'>anchor {n}</section><p class='share'>gone {n}</p>"
+        for k, page in enumerate(
+            (
+                f"<html class='ad'><body class='no-sidebar has-nav'><article class='post comments widget'>{part}</article></body></html>",
+                f"<body class='nav'><nav>menu {n}</nav><div class='widget'><div id='story'>{part}</div></div></body>",
+            )
+        ):
+            rows.append((10 * n + k, f"http://{'ab'[k]}.example/{n}", page))
+            want[10 * n + k] = f"Work {n} sold {n} anchor {n}"
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
 # 10
 
 
