@@ -29,9 +29,22 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, 0.8) the smallest doc_id; documents without words are in no group and stay."""
-    rejected = minhash.near_duplicates(docs).where("component_id is not null and not kept").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near-duplicates (five-word shingles, 0.8) one row; documents without words are in no group and stay.
+
+    It is the row of the smallest doc_id, null ids last, and of that id the text of the smallest hash; of equal rows (one id
+    and text) one stays. Each row is decided by its own text, so an id that two texts share can lose one of them and keep
+    the other.
+    """
+    near = minhash.near_duplicates(docs, keyed=True).where("root is not null").groupBy("root", "doc_id", "h").agg(F.count("*").alias("m"))
+    near = save(near.withColumn("key", F.struct(F.col("doc_id").isNull(), "doc_id", "h")))
+    kept = near.groupBy("root").agg(F.min("key").alias("kept"))
+    near = near.join(kept, "root").select("doc_id", "h", "m", (~F.col("key").eqNullSafe(F.col("kept"))).alias("rejected")).where("rejected or m > 1")
+    near = save(near.select(F.col("doc_id").alias("_id"), F.col("h").alias("_nh"), "rejected"))
+    own = docs.withColumn("_h", F.xxhash64(F.col("text").cast("string")))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_nh"))
+    single = own.join(near, same, "left_anti")
+    repeated = own.join(near.where("not rejected"), same, "left_semi").dropDuplicates(["doc_id", "_h"])
+    return single.unionByName(repeated).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -212,7 +212,7 @@ def _open_pairs(k: int, word: str, similar: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, similar: int = SIMILAR, word: str = "space") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, similar: int = SIMILAR, word: str = "space", keyed: bool = False) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
     Rows whose k-word shingle sets have 100 * intersection >= similar * union are linked; component_id is the
@@ -224,7 +224,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null or empty texts have no shingles and link with nothing. Rows with a null id link like others but are never a
     component_id unless no other id is there (then it is null, and kept is false); repeated rows stay, each with
-    its own result. Other columns of the input are not read.
+    its own result. Other columns of the input are not read. With keyed, also h (the hash of the text) and root (the
+    group, also of null ids only; null without shingles).
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     docs = docs.withColumn("h", F.xxhash64("text"))
@@ -266,10 +267,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     drop(members)
     drop(starred)
     drop(chosen)
-    placed = rows.select("doc_id", "n", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = rows.select("doc_id", "h", "n", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = placed.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     out = placed.join(least, "root", "left").withColumn("component_id", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"), *(["h", "root"] if keyed else []))
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

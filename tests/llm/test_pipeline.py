@@ -75,3 +75,15 @@ def test_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
     assert set(registry.QUERIES) | {"pipeline"} <= set(entries.queries())
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "minhash_near_dedup", "benchmark_decontamination", "bpe_encode_decode"]
+
+
+def test_one_row_of_each_group_of_near_duplicates_stays(spark):
+    long = {c: " ".join(f"{c}{k}" for k in range(200)) for c in "abcdef"}
+    near = {c: t + f" {c}new" for c, t in long.items()}
+    rows = [
+        (1, long["a"]), (None, near["a"]), (None, long["b"]), (None, near["b"]), (2, long["c"]), (2, long["c"]),
+        (3, long["d"]), (4, near["d"]), (4, long["e"]), (None, long["f"]), (None, long["f"]), (None, None), (None, None),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.text and r.text[0]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
+    assert sorted(got, key=str) == sorted([(1, "a"), (None, "b"), (2, "c"), (3, "d"), (4, "e"), (None, "f"), (None, None), (None, None)], key=str)
