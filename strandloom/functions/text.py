@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.plans.order import partitions
+
 #: Longest run of a physical piece, and the bits of a packed position: offset 10, strand 1, length 9.
 MAX_PIECE = 511
 
@@ -51,12 +53,41 @@ def decode_tag_run(v: Column) -> tuple[Column, Column, Column, Column]:
     return F.shiftright(v, 20), F.shiftright(v, 10).bitwiseAND(F.lit(1).cast("long")), v.bitwiseAND(F.lit(1023).cast("long")), F.shiftright(v, 11).bitwiseAND(F.lit(511).cast("long"))
 
 
+#: Symbols of a chunk of a sequence.
+CHUNK = 256
+
+
+def chunks(seqs: DataFrame, ahead: int, keep: tuple[str, ...] = (), behind: int = 0) -> DataFrame:
+    """(seq, base, n, lead, x, c): sequences cut into chunks of CHUNK symbols, dealt out evenly.
+
+    x has up to `behind` symbols before base (lead of them), the n symbols from base on and up to `ahead` more; c is the symbol
+    before base ('$' at the beginning). Positions are looked up in a chunk, so a long sequence costs no more than short ones.
+    """
+    d = seqs.where(F.length("t") > 0).select("seq", *keep, F.expr(f"regexp_extract_all(t, '(?s).{{1,{CHUNK}}}', 0)").alias("_a"))
+    d = d.select("*", F.posexplode("_a").alias("_i", "_x"))
+    m = max(1, -(-ahead // CHUNK))
+    more = F.expr(f"substring(array_join(slice(_a, _i + 2, {m}), ''), 1, {ahead})")
+    m = max(1, -(-behind // CHUNK))
+    before = F.expr(f"right(array_join(slice(_a, greatest(_i + 1 - {m}, 1), least(_i, {m})), ''), {behind})") if behind else F.lit("")
+    d = d.select(
+        "seq", *keep, (F.col("_i").cast("long") * CHUNK).alias("base"), F.length("_x").alias("n"), F.length(before).alias("lead"), F.concat(before, "_x", more).alias("x"),
+        F.when(F.col("_i") == 0, "$").otherwise(F.expr("right(element_at(_a, greatest(_i, 1)), 1)")).alias("c"),
+    )
+    return d.repartition(partitions(seqs), "seq", "base")
+
+
+def windows(seqs: DataFrame, k: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(seq, pos, kmer, c): every window of exactly k symbols and the symbol before it ('$' at the beginning)."""
+    d = chunks(seqs, k - 1, keep).where(F.length("x") >= k).withColumn("_j", F.explode(F.expr(f"sequence(0, least(n, length(x) - {k - 1}) - 1)")))
+    c = F.when(F.col("_j") == 0, F.col("c")).otherwise(F.expr("substring(x, _j, 1)"))
+    return d.select("seq", *keep, (F.col("base") + F.col("_j")).alias("pos"), F.expr(f"substring(x, _j + 1, {k})").alias("kmer"), c.alias("c"))
+
+
 def kmers(seqs: DataFrame, k: int) -> DataFrame:
     """(seq, pos, kmer) of every window of k bases; a window with another character is left out."""
     if k < 1:
         raise ValueError("k must be at least 1")
-    at = seqs.where(F.length("t") >= k).withColumn("pos", F.explode(F.sequence(F.lit(0), F.length("t") - k)))
-    return at.select("seq", F.col("pos").cast("long").alias("pos"), F.expr(f"substring(t, pos + 1, {k})").alias("kmer")).where(F.col("kmer").rlike(r"^[ACGT]+\z"))
+    return windows(seqs, k).select("seq", "pos", "kmer").where(F.col("kmer").rlike(r"^[ACGT]+\z"))
 
 
 def kmers_both(seqs: DataFrame, k: int) -> DataFrame:
