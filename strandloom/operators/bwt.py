@@ -5,42 +5,78 @@ Rows are numbered from 0; the end of a sequence ('$') is the smallest symbol and
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.plans.order import as_of, beside, islands, numbered, prefix_sums
-from strandloom.plans.tables import written
+from strandloom.functions.text import chunks
+from strandloom.plans.order import as_of, beside, islands, numbered, prefix_sums, stretches
+from strandloom.plans.tables import drop, written
 
 SYMBOLS = ("$", "A", "C", "G", "N", "T")
 #: Characters of a suffix that the first sort sees; ties go on by doubling.
 FIRST = 32
 
 
-def suffix_array(seqs: DataFrame) -> DataFrame:
+def suffixes(seqs: DataFrame, k: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(seq, pos, k, f, c): the first k symbols of every suffix, also of those that end before, its first symbol and the one before it ('$' at the edges)."""
+    d = chunks(seqs, k, keep).withColumn("_j", F.explode(F.expr("sequence(0, n - 1)")))
+    c = F.when(F.col("_j") == 0, F.col("c")).otherwise(F.expr("substring(x, _j, 1)"))
+    d = d.select("seq", *keep, (F.col("base") + F.col("_j")).alias("pos"), F.expr(f"substring(x, _j + 1, {k})").alias("k"), F.expr("substring(x, _j + 1, 1)").alias("f"), c.alias("c"))
+    last = F.when(F.length("t") == 0, "$").otherwise(F.expr("right(t, 1)"))
+    return d.unionByName(seqs.where("t is not null").select("seq", *keep, F.length("t").cast("long").alias("pos"), F.lit("").alias("k"), F.lit("$").alias("f"), last.alias("c")))
+
+
+def suffix_array(seqs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(row_id, seq, pos, f, c): every suffix of every sequence in order, its first symbol and the one before it.
 
     The first FIRST characters are sorted; suffixes that still tie are ranked by the rank of the suffix h further on,
-    h doubling, so no suffix is ever held as a string.
+    h doubling, so no suffix is ever held as a whole. Ties are found by comparing neighbours in the order, so a passage
+    that many sequences share is spread over tasks; rows that are settled are not touched again. Columns of `by` sort
+    before the suffixes and are returned too.
     """
-    s = seqs.withColumn("pos", F.explode(F.sequence(F.lit(0).cast("long"), F.length("t").cast("long"))))
-    s = s.select(
-        "seq", "pos", F.expr(f"substring(t, pos + 1, {FIRST})").alias("k"),
-        F.when(F.length("t") - F.col("pos") < FIRST, F.col("seq")).otherwise(F.lit(-1).cast("long")).alias("ended"),
-        F.when(F.col("pos") == F.length("t"), "$").otherwise(F.expr("substring(t, pos + 1, 1)")).alias("f"),
-        F.when(F.col("pos") == 0, "$").otherwise(F.expr("substring(t, pos, 1)")).alias("c"),
-    )
-    ranked = numbered(s, ["k", "ended", "seq", "pos"])
-    group = Window.partitionBy("k", "ended")
-    ranked = written(ranked.withColumn("rank", F.min("row_id").over(group)).withColumn("ties", F.count("*").over(group)).select("seq", "pos", "f", "c", "rank", "ties"))
-    h = FIRST
-    while not ranked.where("ties > 1").isEmpty():
-        ahead = ranked.select("seq", (F.col("pos") - h).alias("pos"), F.col("rank").alias("next"))
-        tied = ranked.where("ties > 1").join(ahead, ["seq", "pos"])
-        tied = tied.withColumn("rank", F.col("rank") + F.rank().over(Window.partitionBy("rank").orderBy("next")) - 1).drop("next")
-        tied = tied.withColumn("ties", F.count("*").over(Window.partitionBy("rank")))
-        ranked = written(ranked.where("ties = 1").unionByName(tied))
+    s = suffixes(seqs, FIRST, by).withColumn("ended", F.when(F.length("k") < FIRST, F.col("seq")).otherwise(F.lit(-1).cast("long")))
+    cols = ["seq", *by, "pos", "f", "c", "rank"]
+    first = numbered(s, [*by, "k", "ended", "seq", "pos"], "row")
+    now = stretches(first, "row", {"rank": [*by, "k", "ended"]}).select(*cols, "rank_more")
+    settled, rounds, h = [], [first], FIRST
+    while True:
+        settled.append(now.where("not rank_more").select(*cols))
+        tied = now.where("rank_more").select(*cols)
+        if tied.isEmpty():
+            break
+        ranks = reduce(DataFrame.unionByName, [*settled, tied]).select("seq", (F.col("pos") - h).alias("pos"), F.col("rank").alias("next"))
+        pairs = tied.join(ranks.hint("merge"), ["seq", "pos"])
+        pairs = numbered(pairs, ["rank", "next", "seq", "pos"], "row")
+        now = stretches(pairs, "row", {"group": ["rank"], "same": ["rank", "next"]})
+        now = now.select(*cols[:-1], (F.col("rank") + F.col("same") - F.col("group")).alias("rank"), F.col("same_more").alias("rank_more"))
+        rounds.append(pairs)
         h *= 2
-    return ranked.select(F.col("rank").cast("long").alias("row_id"), "seq", "pos", "f", "c")
+    drop(*rounds)
+    return reduce(DataFrame.unionByName, settled).select(F.col("rank").cast("long").alias("row_id"), "seq", *by, "pos", "f", "c")
+
+
+def blocks(seqs: DataFrame, k: int) -> DataFrame:
+    """(kmer, lo, size, r_$, r_A, ...), written: for the first k symbols of suffixes (fewer where they end), the rows that begin with them, and how often each symbol stands before the first of these rows.
+
+    Suffixes with equal first symbols are neighbours in the order, so counts of each prefix and their running sums are enough;
+    no suffix array is needed and what is shuffled is one row for each prefix and task.
+    """
+    s = suffixes(seqs, k)
+    each = s.groupBy(F.col("k").alias("kmer")).agg(F.count("*").alias("size"), *(F.count_if(F.col("c") == x).alias(f"n_{x}") for x in SYMBOLS))
+    order = numbered(each, ["kmer"], "_at")
+    sums = prefix_sums(order, "_at", {"lo": F.col("size")} | {f"r_{x}": F.col(f"n_{x}") for x in SYMBOLS})
+    out = written(sums.select("kmer", "lo", "size", *(f"r_{x}" for x in SYMBOLS)))
+    drop(order)
+    return out
+
+
+def bounds(blocks_: DataFrame, seqs: DataFrame) -> DataFrame:
+    """(row_id, r_$, r_A, ...): symbols before the first row of each block, and before the row after the last."""
+    ends = seqs.where("t is not null").select(F.length("t").cast("long").alias("n"), *(F.length(F.regexp_replace("t", f"[^{x}]", "")).cast("long").alias(f"n_{x}") for x in SYMBOLS[1:]))
+    total = ends.agg(F.coalesce(F.sum(F.col("n") + 1), F.lit(0)).alias("row_id"), F.count("*").alias("r_$"), *(F.coalesce(F.sum(f"n_{x}"), F.lit(0)).alias(f"r_{x}") for x in SYMBOLS[1:]))
+    return blocks_.select(F.col("lo").alias("row_id"), *(f"r_{x}" for x in SYMBOLS)).unionByName(total)
 
 
 def bwt_runs(sa: DataFrame) -> DataFrame:
@@ -80,7 +116,7 @@ def samples(sa: DataFrame, runs: DataFrame, tail: bool) -> DataFrame:
 
 def locate_next(sa: DataFrame) -> DataFrame:
     """(seq, pos, next_seq, next_pos): the suffix after each suffix in order; the last has none."""
-    return beside(sa.select("row_id", "seq", "pos"), "row_id", {"seq": "next_seq", "pos": "next_pos"}, 1).where("next_seq is not null").select("seq", "pos", "next_seq", "next_pos")
+    return beside(sa.select("row_id", "seq", "pos"), "row_id", {"next_seq": "seq", "next_pos": "pos"}, 1).where("next_seq is not null").select("seq", "pos", "next_seq", "next_pos")
 
 
 def run_of_row(rows: DataFrame, runs: DataFrame) -> DataFrame:
