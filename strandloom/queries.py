@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import text as tx
 from strandloom.operators import bwt, graph, intervals, search, stats, tags
-from strandloom.plans.order import as_of, numbered
+from strandloom.plans.order import as_of, numbered, partitions
 from strandloom.plans.tables import written
 
 #: Node width of the graph, k of k-mers and of patterns, least length of matches.
@@ -25,15 +25,17 @@ class Inputs:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
+        self._blocks: dict[tuple[str, int], DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
     @cached_property
     def described(self) -> DataFrame:
-        p = self.table("part")
+        # a small file is one task, and spelling is work: rows are dealt out before it and written after
+        p = self.table("part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size").repartition(partitions(self.table("part")), "p_partkey")
         whole = F.concat("p_name", "p_brand", "p_type", F.col("p_size").cast("string"), F.col("p_partkey").cast("string"))
-        return p.select(F.col("p_partkey").cast("long").alias("seq"), tx.to_dna(whole).alias("t"), F.col("p_brand").alias("part"))
+        return written(p.select(F.col("p_partkey").cast("long").alias("seq"), tx.to_dna(whole).alias("t"), F.col("p_brand").alias("part")))
 
     @cached_property
     def seqs(self) -> DataFrame:
@@ -41,7 +43,7 @@ class Inputs:
 
     @cached_property
     def both(self) -> DataFrame:
-        return self.seqs.select((2 * F.col("seq")).alias("seq"), "t").unionByName(self.seqs.select((2 * F.col("seq") + 1).alias("seq"), tx.reverse_complement(F.col("t")).alias("t")))
+        return written(self.seqs.select((2 * F.col("seq")).alias("seq"), "t").unionByName(self.seqs.select((2 * F.col("seq") + 1).alias("seq"), tx.reverse_complement(F.col("t")).alias("t"))))
 
     @cached_property
     def reads(self) -> DataFrame:
@@ -55,9 +57,11 @@ class Inputs:
     def sa(self) -> DataFrame:
         return written(bwt.suffix_array(self.seqs))
 
-    @cached_property
-    def sa_both(self) -> DataFrame:
-        return written(bwt.suffix_array(self.both))
+    def blocks(self, k: int, both: bool = False) -> DataFrame:
+        key = ("both", k) if both else ("seqs", k)
+        if key not in self._blocks:
+            self._blocks[key] = bwt.blocks(self.both if both else self.seqs, k)
+        return self._blocks[key]
 
     @cached_property
     def runs(self) -> DataFrame:
@@ -70,7 +74,7 @@ class Inputs:
 
     @cached_property
     def tags(self) -> DataFrame:
-        return written(tags.tag_array(self.sa, self.paths[1], WIDTH))
+        return written(tags.tag_array(self.sa, self.paths[1]))
 
     @cached_property
     def tag_runs(self) -> DataFrame:
@@ -296,22 +300,22 @@ _COUNT = f"SELECT pattern, min(row_id) AS lo, max(row_id) AS hi FROM patterns JO
 
 @_query(_sql("seqs reads patterns sa", _COUNT))
 def count_patterns(x):
-    return search.count(x.patterns, x.seqs, x.sa, P)
+    return search.count_fixed(x.patterns, x.blocks(P))
 
 
 @_query(_sql("seqs reads patterns", "SELECT pattern FROM patterns WHERE NOT EXISTS (SELECT 1 FROM seqs WHERE contains(t, pattern))"))
 def count_no_match(x):
-    return x.patterns.join(tx.kmers(x.seqs, P).select(F.col("kmer").alias("pattern")), "pattern", "left_anti")
+    return x.patterns.hint("merge").join(x.blocks(P).select(F.col("kmer").alias("pattern")), "pattern", "left_anti")
 
 
 @_query(_sql("seqs reads patterns", "SELECT pattern, seq FROM patterns JOIN seqs ON contains(t, pattern)"))
 def locate_seqs(x):
-    return search.locate(x.patterns, x.seqs, P)
+    return search.locate(x.patterns, x.seqs)
 
 
 @_query(_sql("seqs reads patterns sa", f"SELECT substring(s, 1, {P + 1}) AS pattern, min(row_id) AS lo, max(row_id) AS hi FROM patterns JOIN sa ON substring(s, 1, {P + 1}) = 'A' || pattern GROUP BY 1"))
 def lf_step_range(x):
-    return search.lf_step(search.count(x.patterns, x.seqs, x.sa, P), "A", bwt.ranks(x.sa), bwt.c_array(x.sa))
+    return search.lf_step(search.count_fixed(x.patterns, x.blocks(P)), "A", bwt.ranks(x.sa), bwt.c_array(x.sa))
 
 
 def _bi_sql(where: str) -> str:
@@ -321,28 +325,20 @@ def _bi_sql(where: str) -> str:
 
 @_query(_bi_sql(f"pattern = substring(a.k, 2, {P})"))
 def fmd_backward(x):
-    at = written(search.bi_intervals(x.patterns, x.both, x.sa_both, P))
-    r, c = written(bwt.ranks(x.sa_both)), bwt.c_array(x.sa_both)
-    out = search.backward_extend(at, "A", r, c)
-    for s in "CGT":
-        out = out.unionByName(search.backward_extend(at, s, r, c))
-    return out
+    held = x.blocks(P, True)
+    return search.backward_extend(search.bi_intervals(x.patterns, held), "ACGT", bwt.bounds(held, x.both), bwt.c_array(bwt.suffixes(x.both, 1)))
 
 
 @_query(_bi_sql(f"pattern = substring(a.k, 1, {P})"))
 def fmd_forward(x):
-    at = written(search.bi_intervals(x.patterns, x.both, x.sa_both, P))
-    r, c = written(bwt.ranks(x.sa_both)), bwt.c_array(x.sa_both)
-    out = search.forward_extend(at, "A", r, c)
-    for s in "CGT":
-        out = out.unionByName(search.forward_extend(at, s, r, c))
-    return out
+    held = x.blocks(P, True)
+    return search.forward_extend(search.bi_intervals(x.patterns, held), "ACGT", bwt.bounds(held, x.both), bwt.c_array(bwt.suffixes(x.both, 1)))
 
 
 @_query(_sql("seqs both reads patterns sab", f"SELECT pattern, a.lo AS k, b.lo AS l, a.n AS s, a.n = b.n AS even FROM patterns JOIN g a ON a.k = pattern JOIN g b ON b.k = {_RC.format('pattern')}", f"g AS (SELECT substring(s, 1, {P}) AS k, min(row_id) AS lo, count(*) AS n FROM sab WHERE length(s) >= {P} GROUP BY 1)"))
 def fmd_symmetry(x):
     rc = x.patterns.select(tx.reverse_complement(F.col("pattern")).alias("pattern"))
-    at = search.bi_intervals(x.patterns.unionByName(rc).distinct(), x.both, x.sa_both, P)
+    at = search.bi_intervals(x.patterns.unionByName(rc).distinct(), x.blocks(P, True))
     turned = at.select(tx.reverse_complement(F.col("pattern")).alias("pattern"), F.col("s").alias("s2"))
     return at.join(x.patterns, "pattern").join(turned, "pattern").select("pattern", "k", "l", "s", (F.col("s") == F.col("s2")).alias("even"))
 
@@ -377,7 +373,7 @@ def mem_tags(x):
 
 @_query(_sql("seqs cut nodes steps", "SELECT seq, step, node_id, is_rev, node_start FROM steps"))
 def path_steps(x):
-    return x.paths[1]
+    return x.paths[1].drop("size")
 
 
 @_query(_sql(_TAGS, "SELECT row_id, tag FROM tags"))
@@ -418,12 +414,12 @@ def tag_sample_every_10(x):
 
 @_query(_sql("seqs reads patterns sa cut nodes steps tags tagruns", "SELECT pattern, tag FROM q JOIN tags ON row_id BETWEEN lo AND hi GROUP BY 1, 2", f"q AS ({_COUNT})"))
 def tag_overlap_query(x):
-    return tags.overlapping(search.count(x.patterns, x.seqs, x.sa, P), x.tag_runs).select("pattern", "tag").distinct()
+    return tags.overlapping(search.count_fixed(x.patterns, x.blocks(P)), x.tag_runs).select("pattern", "tag").distinct()
 
 
 @_query(_sql("seqs reads patterns sa cut nodes steps tags tagruns", "SELECT pattern AS qid, count(DISTINCT tag) AS tags_distinct, count(*) AS runs_logical, CAST(sum((len + 510) // 511) AS BIGINT) AS runs_physical FROM q JOIN tagruns ON start <= hi AND start + len - 1 >= lo GROUP BY 1", f"q AS ({_COUNT})"))
 def query_tags(x):
-    return tags.query_tags(search.count(x.patterns, x.seqs, x.sa, P).withColumnRenamed("pattern", "qid"), x.tag_runs)
+    return tags.query_tags(search.count_fixed(x.patterns, x.blocks(P)).withColumnRenamed("pattern", "qid"), x.tag_runs)
 
 
 @_query(_sql(_TAGS + " tagruns", f"SELECT start, len, tag FROM ({_PIECES}) UNION ALL SELECT 0, count(*), 0 FROM seqs"))
@@ -434,12 +430,12 @@ def convert_tags(x):
 
 @_query(_sql(_TAGS, "SELECT row_id, tag FROM tags"))
 def merge_tags(x):
-    s = x.described.withColumn("pos", F.explode(F.sequence(F.lit(0).cast("long"), F.length("t").cast("long"))))
-    own = Window.partitionBy("part").orderBy(F.expr("substring(t, pos + 1)"), "seq")
-    s = s.withColumn("ordinal", (F.row_number().over(own) - 1).cast("long")).withColumn("step", F.expr(f"pos div {WIDTH}"))
-    at = s.join(x.paths[1], ["seq", "step"], "left")
-    tag = F.when(F.col("pos") == F.length("t"), 0).otherwise(F.col("node_id") * 2048 + F.col("pos") - F.col("node_start"))
-    return tags.merge(x.sa, x.described.select("seq", "part"), at.select("part", "ordinal", tag.cast("long").alias("tag")))
+    # each part is sorted by itself: nothing here comes from the order of the whole
+    own = bwt.suffix_array(x.described, ("part",)).select(F.col("row_id").alias("at"), "part", "seq", "pos", "f")
+    own = written(tags.ordinals(own, "part", "at"))
+    tagged = tags.tag_array(own.select(F.col("at").alias("row_id"), "seq", "pos", "f"), x.paths[1])
+    part_tags = own.select(F.col("at").alias("row_id"), "part", "ordinal").join(tagged.hint("merge"), "row_id").select("part", "ordinal", "tag")
+    return tags.merge(x.sa, x.described.select("seq", "part"), part_tags)
 
 
 # Graph
@@ -447,23 +443,23 @@ def merge_tags(x):
 
 @_query(_sql(_TAGS + " uk", "SELECT kmer, tag FROM uk"))
 def unique_kmers(x):
-    return graph.unique_kmers(x.seqs, x.paths[1], K, WIDTH)
+    return graph.unique_kmers(x.seqs, x.paths[1], K)
 
 
 @_query(_sql(_TAGS, "SELECT kmer, min(tag) AS tag FROM k GROUP BY 1 HAVING count(DISTINCT tag) = 1", f"""k AS (SELECT substring(s, 1, {K}) AS kmer, tag FROM sa JOIN tags USING (row_id) WHERE length(s) >= {K} UNION ALL
-  SELECT {_RC.format(f'substring(a.s, 1, {K})')}, tag + 1024 FROM sa a JOIN sa b ON a.seq = b.seq AND b.pos = a.pos + {K - 1} JOIN tags ON tags.row_id = b.row_id WHERE length(a.s) >= {K})"""))
+  SELECT {_RC.format(f'substring(a.s, 1, {K})')}, nodes.node_id * 2048 + 1024 + length(label) - 1 - (tag & 1023) FROM sa a JOIN sa b ON a.seq = b.seq AND b.pos = a.pos + {K - 1} JOIN tags ON tags.row_id = b.row_id JOIN nodes ON nodes.node_id = tag >> 11 WHERE length(a.s) >= {K})"""))
 def unique_kmers_both(x):
-    return graph.unique_kmers(x.seqs, x.paths[1], K, WIDTH, True)
+    return graph.unique_kmers(x.seqs, x.paths[1], K, True)
 
 
 @_query(_sql(_SA, f"SELECT substring(s, 1, {K}) AS kmer, min(row_id) AS lo, count(*) AS size FROM sa WHERE length(s) >= {K} GROUP BY 1"))
 def kmer_intervals(x):
-    return graph.kmer_intervals(x.seqs, x.sa, K)
+    return graph.kmer_intervals(x.seqs, K)
 
 
 @_query(_sql(_TAGS + " uk", f"SELECT uk.kmer, min(row_id) AS lo, count(*) AS size, min(tag) AS tag FROM sa JOIN uk ON uk.kmer = substring(s, 1, {K}) GROUP BY 1"))
 def kmer_tag_join(x):
-    return graph.kmer_intervals(x.seqs, x.sa, K).join(graph.unique_kmers(x.seqs, x.paths[1], K, WIDTH), "kmer").select("kmer", "lo", "size", "tag")
+    return graph.kmer_intervals(x.seqs, K).hint("merge").join(graph.unique_kmers(x.seqs, x.paths[1], K), "kmer").select("kmer", "lo", "size", "tag")
 
 
 def _share(rows: DataFrame, sa: DataFrame) -> DataFrame:
@@ -473,7 +469,7 @@ def _share(rows: DataFrame, sa: DataFrame) -> DataFrame:
 
 @_query(_sql(_TAGS + " uk covered", "SELECT c AS covered, n AS rows, round(c / n, 6) AS share FROM (SELECT (SELECT count(*) FROM covered) AS c, (SELECT count(*) FROM sa) AS n)"))
 def coverage_kmers(x):
-    return _share(graph.covered_rows(x.seqs, x.sa, graph.unique_kmers(x.seqs, x.paths[1], K, WIDTH), K), x.sa)
+    return _share(graph.covered_rows(x.seqs, x.sa, x.paths[1], K), x.sa)
 
 
 _EXT = f"ext AS (SELECT seq, pos FROM covered UNION SELECT e.seq, e.pos - 1 FROM ext e JOIN steps ON steps.seq = e.seq AND steps.step = e.pos // {WIDTH} JOIN seqs ON seqs.seq = e.seq LEFT JOIN preds ON preds.node_id = steps.node_id AND base = substring(t, e.pos, 1) WHERE e.pos > 0 AND (e.pos % {WIDTH} > 0 OR pred IS NOT NULL))"
@@ -482,19 +478,17 @@ _EXT_PARTS = _TAGS + " uk covered edges preds"
 
 @_query(_sql(_EXT_PARTS, "SELECT row_id, tag FROM ext JOIN sa USING (seq, pos) JOIN tags USING (row_id)", _EXT, True))
 def extension_fixpoint(x):
-    unique = graph.unique_kmers(x.seqs, x.paths[1], K, WIDTH)
-    return graph.extend(x.seqs, x.sa, graph.covered_rows(x.seqs, x.sa, unique, K), x.paths[1], x.paths[0], WIDTH).select("row_id", "tag")
+    return graph.extend(x.sa, graph.covered_rows(x.seqs, x.sa, x.paths[1], K), x.paths[1], x.paths[0]).select("row_id", "tag")
 
 
 @_query(_sql(_EXT_PARTS, "SELECT c AS covered, n AS rows, round(c / n, 6) AS share FROM (SELECT (SELECT count(*) FROM ext) AS c, (SELECT count(*) FROM sa) AS n)", _EXT, True))
 def coverage_extended(x):
-    unique = graph.unique_kmers(x.seqs, x.paths[1], K, WIDTH)
-    return _share(graph.extend(x.seqs, x.sa, graph.covered_rows(x.seqs, x.sa, unique, K), x.paths[1], x.paths[0], WIDTH), x.sa)
+    return _share(graph.extend(x.sa, graph.covered_rows(x.seqs, x.sa, x.paths[1], K), x.paths[1], x.paths[0]), x.sa)
 
 
 @_query(_sql("seqs cut nodes steps edges preds", "SELECT node_id, base, pred FROM preds"))
 def unique_predecessors(x):
-    return graph.unique_predecessors(graph.edges(x.paths[1]), x.paths[0])
+    return graph.unique_predecessors(graph.edges(x.paths[1]), x.paths[0]).where("not is_rev").select("node_id", "base", "pred")
 
 
 _COMP = "reach AS (SELECT node_id AS a, node_id AS b FROM nodes UNION SELECT a, w FROM reach JOIN (SELECT u, v AS w FROM edges UNION SELECT v, u FROM edges) ON u = b), comp AS (SELECT a AS node_id, min(b) AS comp FROM reach GROUP BY 1)"
@@ -538,7 +532,7 @@ def interval_floor_lookup(x):
 
 @_query(_sql(_TAGS, "SELECT row_id, tag FROM tags"))
 def gap_fill(x):
-    covered = graph.covered_rows(x.seqs, x.sa, graph.unique_kmers(x.seqs, x.paths[1], K, WIDTH), K)
+    covered = graph.covered_rows(x.seqs, x.sa, x.paths[1], K)
     return intervals.gap_fill(covered, x.tags)
 
 

@@ -65,17 +65,19 @@ def test_count_locate_and_extension(spark):
     patterns = spark.createDataFrame([(w,) for w in words], "pattern string")
     order = suffixes(CLOSED)
     want = {w: [i for i, (s, p) in enumerate(order) if CLOSED[s].startswith(w, p) and len(CLOSED[s]) - p >= k] for w in words}
-    got = {r.pattern: (r.lo, r.hi) for r in search.count(patterns, f, sa, k).collect()}
-    assert got == {w: (min(x), max(x)) for w, x in want.items() if x}
-    at = search.bi_intervals(patterns, f, sa, k).cache()
-    ranks, c = bwt.ranks(sa).cache(), bwt.c_array(sa).cache()
+    held = bwt.blocks(f, k)
+    for got in (search.count_fixed(patterns, held), search.count(patterns, f, sa)):
+        assert {r.pattern: (r.lo, r.hi) for r in got.collect()} == {w: (min(x), max(x)) for w, x in want.items() if x}
+    at = search.bi_intervals(patterns, held).cache()
+    ranks, c = bwt.bounds(held, f).cache(), bwt.c_array(sa).cache()
+    full = {r.row_id: tuple(r[f"r_{x}"] for x in bwt.SYMBOLS) for r in bwt.ranks(sa).collect()}
+    assert all(full.get(r.row_id, tuple(r)[1:]) == tuple(r[f"r_{x}"] for x in bwt.SYMBOLS) for r in ranks.collect())
     rows = {w: [i for i, (s, p) in enumerate(order) if CLOSED[s][p : p + len(w)] == w] for w in {x + y for x in words for y in "ACGT"} | {y + x for x in words for y in "ACGT"}}
     turn = lambda w: w[::-1].translate(str.maketrans("ACGT", "TGCA"))
     for grown in (search.backward_extend, search.forward_extend):
-        for s in "ACGT":
-            for r in grown(at, s, ranks, c).collect():
-                assert (r.k, r.s) == (min(rows[r.pattern]), len(rows[r.pattern]))
-                assert r.l == min(i for i, (q, p) in enumerate(order) if CLOSED[q][p : p + k + 1] == turn(r.pattern))
+        for r in grown(at, "ACGT", ranks, c).collect():
+            assert (r.k, r.s) == (min(rows[r.pattern]), len(rows[r.pattern]))
+            assert r.l == min(i for i, (q, p) in enumerate(order) if CLOSED[q][p : p + k + 1] == turn(r.pattern))
 
 
 @pytest.mark.parametrize("m", [1, 2, 3])
@@ -109,7 +111,7 @@ def test_tags_tile_rows_and_split(spark):
     f = frame(spark, CLOSED)
     sa = bwt.suffix_array(f).cache()
     nodes, steps = tags.chopped_paths(f, 4)
-    runs = tags.tag_runs(tags.tag_array(sa, steps, 4)).orderBy("start").collect()
+    runs = tags.tag_runs(tags.tag_array(sa, steps)).orderBy("start").collect()
     assert runs[0].tag == 0 and runs[0].start == 0
     assert [r.start + r.len for r in runs[:-1]] == [r.start for r in runs[1:]]
     for n, want in ((511, [511]), (512, [511, 1]), (1022, [511, 511]), (1023, [511, 511, 1])):
@@ -153,11 +155,11 @@ def test_interval_map(spark):
 
 
 def test_components_and_predecessors(spark):
-    edges = spark.createDataFrame([(k, k + 1) for k in range(1, 40)] + [(60, 50), (70, 50)], "u long, v long")
+    edges = spark.createDataFrame([(k, False, k + 1, False) for k in range(1, 40)] + [(60, False, 50, False), (70, False, 50, False)], "u long, u_rev boolean, v long, v_rev boolean")
     nodes = spark.createDataFrame([(k, "AC" if k % 2 else "GT") for k in [*range(1, 41), 50, 60, 70, 80]], "node_id long, label string")
     got = {r.node_id: r.comp for r in graph.components(edges, nodes).collect()}
     assert got == {**{k: 1 for k in range(1, 41)}, 50: 50, 60: 50, 70: 50, 80: 80}
-    assert {(r.node_id, r.pred) for r in graph.unique_predecessors(edges, nodes).where("node_id > 38").collect()} == {(39, 38), (40, 39)}
+    assert {(r.node_id, r.pred) for r in graph.unique_predecessors(edges, nodes).where("node_id > 38 and not is_rev").collect()} == {(39, 38), (40, 39)}
 
 
 def test_kmers_skip_other_symbols(spark):

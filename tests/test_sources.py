@@ -27,7 +27,7 @@ def test_index_folder(spark, tmp_path):
 
 def test_streamed_reads(spark, tmp_path):
     seqs = spark.createDataFrame([(0, "GATTACA")], "seq long, t string")
-    seeds = graph.kmer_intervals(seqs, bwt.suffix_array(seqs), 4)
+    seeds = graph.kmer_intervals(seqs, 4)
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.txt").write_text("ATTAC\n\nCCCCC\n")
     q = stream.seed_hits(stream.stream_lines(spark, str(tmp_path / "in")), seeds, 4).writeStream.format("memory").queryName("hits").outputMode("append").start()
