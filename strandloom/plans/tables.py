@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a written table that may be broadcast; larger ones are joined by a sorted merge.
 SMALL = 200_000
+#: Spark's own setting that deletes the shuffle files of a query as soon as it has ended.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,10 +28,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, path: str | None = None) -> DataFrame:
-    """df as a Parquet table that is read back, so that nothing before it runs again."""
-    path = path or f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    """df as a Parquet table that is read back, so that nothing before it runs again; the shuffle files it took are deleted."""
+    spark = df.sparkSession
+    path = path or f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEAN, None)
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.unset(CLEAN) if before is None else spark.conf.set(CLEAN, before)
+    out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out
 
