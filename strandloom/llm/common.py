@@ -1,11 +1,7 @@
-"""Shared pieces: written tables in the cluster's shared folder and word hashing in numpy."""
+"""Shared pieces: tables, free column names and word hashing in numpy."""
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,35 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one only where none is set."""
-    sc = spark.sparkContext
-    found = sc.getCheckpointDir()
-    if not found:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandloom-"))
-        found = sc.getCheckpointDir()
-    return found
-
-
-def save(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write df as Parquet into the shared folder and read it back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._saved_at = path
-    gc.collect()  # lets Spark delete the shuffle files of what has just been written
-    spark.sparkContext._jvm.System.gc()
-    return out
-
-
-def drop(df: DataFrame | None) -> None:
-    """Delete what save() wrote, once nothing reads it any more."""
-    path = getattr(df, "_saved_at", None)
-    if path:
-        jvm = df.sparkSession.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def byte_table(ranges: list[tuple[int, int]]) -> np.ndarray:

@@ -19,19 +19,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import save, table
+from strandloom.llm.common import table
+from strandloom.plans.tables import written as save
 
 #: When a block is a slot, see wrappers().
 TWENTY, FEW = 20, 6
 #: Longest unit of a repeated group, in tokens.
 UNIT = 8
-#: Wrappers are broadcast up to this many and PATH characters of each on average; beyond, pages are joined to them.
-HOSTS, PATH = 20_000, 400
+#: Wrappers are broadcast up to this many and PATH characters of each on average; beyond, pages are joined to them, a template dealt out to SALTS tasks.
+HOSTS, PATH, SALTS = 20_000, 400, 32
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements that hold no article text, and whole words of class, id or role that mark others. Elements in UNMARKED hold the
-#: page or the article and are never marked; the id of one in NAMED is an anchor and doesn't mark it.
-OUTSIDE = frozenset("head nav aside footer form script style noscript template iframe svg button select textarea object canvas dialog menu".split())
+#: Elements that hold no article text, and whole words of class, id or role that mark others. A form, or a marked element, that
+#: holds the page's first article, main or h1 element holds the article, and isn't left out; a header is left out unless it stands
+#: in an article or main element or in what a wrapper names. Elements in UNMARKED hold the page or the article and are never
+#: marked; the id of one in NAMED is an anchor and doesn't mark it.
+OUTSIDE = frozenset("head nav aside footer button select object canvas dialog menu".split())
+#: Elements whose text is no text; without an end tag only the tag itself goes, but for scripts and styles.
+RAW = frozenset("script style noscript template textarea iframe svg".split())
+HOLDERS = ("article", "main", "h1")
 MARKS = frozenset(
     "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer gdpr masthead menu menus nav navbar navigation newsletter notice notices popup promo related reply replies share sharing sidebar sidebars social sponsor sponsored subscribe toolbar widget".split()
 )
@@ -43,7 +49,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 CONTENT = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre figure figcaption picture audio video table caption colgroup thead tbody tfoot tr td th address details summary hgroup fieldset legend center".split())
 OUTLINE = "struct<template:bigint,blocks:array<struct<path:array<string>,marked:boolean,text:bigint,chars:bigint,article:array<string>,main:array<string>>>>"
 BLOCKS = pa.list_(pa.struct([("path", pa.list_(pa.string())), ("marked", pa.bool_()), ("text", pa.int64()), ("chars", pa.int64()), ("article", pa.list_(pa.string())), ("main", pa.list_(pa.string()))]))
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|iframe|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(noscript|template|textarea|iframe|svg)\b[^>]*(?<!/)>.*?</\2\s*>|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
@@ -55,34 +61,40 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
         if m.start() > at:
             yield "text", page[at : m.start()], ""
         at = m.end()
-        if m[3]:
-            name = m[3].lower()
-            if m[2]:
+        if m[4] and (name := m[4].lower()) not in RAW:
+            if m[3]:
                 yield "close", name, ""
             else:
-                words = " ".join(("#" if name in NAMED and x[1].lower() == "id" else "") + next(filter(None, x.groups()[1:]), "") for x in _ATTR.finditer(m[4])).lower() if m[4] else ""
+                words = " ".join(("#" if name in NAMED and x[1].lower() == "id" else "") + next(filter(None, x.groups()[1:]), "") for x in _ATTR.finditer(m[5])).lower() if m[5] else ""
                 yield "open", name, words
-                if name in VOID or m[4].endswith("/") and name not in INLINE and name != "p":
+                if name in VOID or m[5].endswith("/") and name not in INLINE and name != "p":
                     yield "close", name, ""
     if at < len(page):
         yield "text", page[at:], ""
 
 
 def marked(name: str, words: str) -> bool:
-    return bool(words) and name not in UNMARKED and not MARKS.isdisjoint(words.split())
+    return name == "form" or bool(words) and name not in UNMARKED and not MARKS.isdisjoint(words.split())
 
 
 class Walk:
-    """The open elements, as tags come; unclosed ones end with what holds them, and a paragraph with the next."""
+    """The open elements, as tags come; unclosed ones end with what holds them, and a paragraph with the next.
 
-    def __init__(self):
-        self.open: list[tuple[str, str, bool, bool]] = []
+    Each is (name, label, kind, ordinal): kind is 3 for an element of OUTSIDE, 2 for a header, 1 for a marked one, else 0. The ordinals in
+    `holding` are of elements that hold the article: their marks don't count.
+    """
+
+    def __init__(self, holding: frozenset[int] = frozenset()):
+        self.open: list[tuple[str, str, int, int]] = []
+        self.holding, self.seen = holding, 0
 
     def step(self, kind: str, name: str, words: str) -> None:
         if kind == "open":
             if name in ("p", "li", "tr", "td", "th", "dt", "dd", "option") and any(x[0] == name for x in self.open[-3:]):
                 self._close(name)
-            self.open.append((name, label(name, words), name in OUTSIDE, marked(name, words)))
+            own = 3 if name in OUTSIDE else 2 if name == "header" or "header" in words.split() else int(marked(name, words))
+            self.open.append((name, label(name, words), 0 if own == 1 and self.seen in self.holding else own, self.seen))
+            self.seen += 1
         elif kind == "close" and any(x[0] == name for x in self.open):
             self._close(name)
 
@@ -95,7 +107,28 @@ class Walk:
 
     def skipped(self, holds: int = 0) -> bool:
         """Inside what holds no article text; the first elements, as many as holds, hold the article, whatever their class."""
-        return any(x[2] for x in self.open) or any(x[3] for x in self.open[holds:])
+        inside = holds > 0 and self.open[holds - 1][0] not in ("html", "body")
+        for k, x in enumerate(self.open):
+            if x[0] in ("article", "main"):
+                inside = True
+            if x[2] == 3 or k >= holds and (x[2] == 1 or x[2] == 2 and not inside):
+                return True
+        return False
+
+
+def holding(parts: list[tuple[str, str, str]]) -> frozenset[int]:
+    """Ordinals of the elements that hold the first of an article, a main and an h1 element. One in a header or in an element of OUTSIDE doesn't count, nor, after another was found, one in a marked element."""
+    walk, found, left = Walk(), set(), set(HOLDERS)
+    for kind, name, words in parts:
+        if kind == "text":
+            continue
+        if kind == "open" and name in left and all(x[2] < 2 and (not x[2] or not found or x[3] in found) for x in walk.open):
+            left.discard(name)
+            found |= {-1, *(x[3] for x in walk.open)}
+        walk.step(kind, name, words)
+        if not left:
+            break
+    return frozenset(found)
 
 
 def label(name: str, words: str) -> str:
@@ -209,8 +242,9 @@ def outer(path: tuple[str, ...], name: str) -> list[str] | None:
 
 def outline(page: str) -> tuple[int, list[dict]]:
     """The template of a page (a digest of the paths of its containers) and its blocks with text: path, whether it is in a marked element, digest of the text, characters."""
-    walk, boxes, texts = Walk(), set(), {}
-    for kind, name, words in tokens(page):
+    parts = list(tokens(page))
+    walk, boxes, texts = Walk(holding(parts)), set(), {}
+    for kind, name, words in parts:
         if kind == "text":
             if not walk.skipped(len(walk.open)) and (text := " ".join(name.split())):
                 path = walk.path()
@@ -223,17 +257,18 @@ def outline(page: str) -> tuple[int, list[dict]]:
         if kind == "open" and name not in INLINE and name not in CONTENT and name not in VOID and not walk.skipped():
             boxes.add("/".join(walk.path()))
     blocks = []
-    for (path, inside), parts in texts.items():
-        text = " ".join(parts)
+    for (path, inside), some in texts.items():
+        text = " ".join(some)
         blocks.append({"path": list(path), "marked": inside, "text": digest(text), "chars": len(text), "article": outer(path, "article"), "main": outer(path, "main")})
     return digest("\n".join(sorted(boxes))), blocks
 
 
 def main_text(page: str, path: tuple[str, ...] = ()) -> str:
-    """The text inside the element at path; a page without it is read by its own article or main element, else whole but for what is skipped()."""
-    found: dict[str, list[str]] = {"wrapper": [], "article": [], "main": [], "page": []}
-    walk = Walk()
-    for kind, name, words in tokens(page):
+    """The text inside the element at path; a page without it is read by its own article or main element, else whole but for what is skipped(), and if nothing is left, whole but for OUTSIDE."""
+    found: dict[str, list[str]] = {"wrapper": [], "article": [], "main": [], "page": [], "rest": []}
+    parts = list(tokens(page))
+    walk = Walk(holding(parts))
+    for kind, name, words in parts:
         if kind == "text":
             if not name:
                 continue
@@ -241,18 +276,20 @@ def main_text(page: str, path: tuple[str, ...] = ()) -> str:
             if path and walk.path()[: len(path)] == path and not walk.skipped(len(path)):
                 found["wrapper"].append(text)
             if not walk.skipped():
-                tags = {x[0] for x in walk.open}
+                names = {x[0] for x in walk.open}
                 for k in ("article", "main"):
-                    if k in tags:
+                    if k in names:
                         found[k].append(text)
                 found["page"].append(text)
+            if not walk.skipped(len(walk.open)):
+                found["rest"].append(text)
             continue
         walk.step(kind, name, words)
         if name not in INLINE:
-            for parts in found.values():
-                parts.append(" ")
-    for parts in found.values():
-        if text := " ".join("".join(parts).split()):
+            for some in found.values():
+                some.append(" ")
+    for some in found.values():
+        if text := " ".join("".join(some).split()):
             return text
     return ""
 
@@ -319,8 +356,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     if broad.n <= HOSTS and broad.size <= HOSTS * PATH:
         joined = p.join(F.broadcast(known), ["host", "template"], "left")
     else:  # a hot template is dealt out by a salt
-        salts = F.explode(F.sequence(F.lit(0), F.lit(31)))
-        joined = p.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(32)).cast("int")).join(known.withColumn("salt", salts), ["host", "template", "salt"], "left")
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+        joined = p.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(known.withColumn("salt", salts), ["host", "template", "salt"], "left")
 
     @F.arrow_udf("string")
     def read(cols: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:

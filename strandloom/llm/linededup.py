@@ -14,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import SPACE, U64, LOWER, drop, mix, pieces, save, table, utf8_parts, word_hashes
+from strandloom.llm.common import SPACE, U64, LOWER, mix, pieces, table, utf8_parts, word_hashes
+from strandloom.plans.tables import drop, written as save
 
 #: Any run of REPEAT words that stands twice shares a fingerprint: REPEAT = GRAM + window - 1.
 REPEAT, GRAM = 50, 16

@@ -9,8 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import NONWORD, SPACE, U64, drop, mix, pieces, save, table, utf8_parts, word_hashes
-from strandloom.llm.components import connected_components
+from strandloom.llm.common import NONWORD, SPACE, U64, mix, pieces, table, utf8_parts, word_hashes
+from strandloom.plans.tables import drop, written as save
+from strandloom.plans.components import connected_components
 
 #: Bands and rows of a band: two sets at 0.8 miss every bucket with probability (1 - 0.8^5)^40, about 1e-7.
 BANDS, ROWS = 40, 5

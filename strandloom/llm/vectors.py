@@ -16,8 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import save, table
-from strandloom.llm.components import connected_components
+from strandloom.llm.common import table
+from strandloom.plans.tables import written as save
+from strandloom.plans.components import connected_components
 
 COSINE, BLOCK = 0.9, 16
 #: Vectors of a cell that are compared in one task with as many others; larger cells are dealt out in chunks of this size.

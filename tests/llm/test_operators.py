@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandloom.llm import bpe, decontaminate, html, langid, licenses, linededup, minhash, toxicity, vectors
-from strandloom.llm.components import connected_components
+from strandloom.plans.components import connected_components
 
 DOC = "doc_id long, text string, score string, component_id string, fp int, node string, hits string, cut string, lang string"
 ODD = [None, "", " \n\t", "a", "word " * 30_000, "é ü ß", "\x00\x1f", "x" * 200_000]
@@ -107,7 +107,7 @@ def test_components_by_stars(spark, monkeypatch):
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(300 + i, 301 + i) for i in range(60)]
     want = components(361, links)
     for most in (10, 10**6):
-        monkeypatch.setattr("strandloom.llm.components.TASK_EDGES", most)
+        monkeypatch.setattr("strandloom.plans.components.TASK_EDGES", most)
         got = {r.node: r.root for r in connected_components(spark.createDataFrame([*links, (None, 1)], "u long, v long")).collect()}
         assert [got.get(i, i) for i in range(361)] == want
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
@@ -367,6 +367,31 @@ def test_each_template_of_a_host_has_its_own_wrapper(spark):
     assert got == want
 
 
+def test_what_holds_the_article_is_never_left_out(spark, monkeypatch):
+    text = "<p>Some real text {n} {x}</p>"
+    shapes = [
+        "<body class='single has-sidebar'><article>{t}</article></body>",
+        "<body class='post comments-open'><header><h1>Site</h1></header><div>{t}</div></body>",
+        "<body><form id='aspnetForm'><header>Top</header><main>{t}<form>search</form></main></form></body>",
+        "<body><div class='popup'><h1>Head</h1>{t}</div><div class='comments'><article>" + "a reader {n} " * 40 + "</article></div></body>",
+        "<body><article><header><h1>Head</h1></header><iframe src='x'/>{t}</article></body>",
+        "<body><article><svg><path d='1'>{t}</article></body>",
+        "<body><div class='header'>Site</div><div class='popup'>{t}</div></body>",
+        "<body><article><textarea>typed</textarea><template>no</template><p>{n}<iframe src='y'>old</iframe></p>{t}<unknown>tail</unknown></article>",
+    ]
+    heads = ["", "", "", "Head ", "Head ", "", "", "{n} "]
+    rows, want = [], {}
+    for k, shape in enumerate(shapes):
+        for n in range(3):
+            x = "y" * (n + 1)
+            rows.append((10 * k + n, None if k == 2 else f"http://h{k}.example/{n}", shape.replace("{t}", text).replace("{n}", str(n)).replace("{x}", x)))
+            want[10 * k + n] = heads[k].replace("{n}", str(n)) + f"Some real text {n} {x}" + (" tail" if k == 7 else "")
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html.extract(pages).collect()} == want
+    monkeypatch.setattr(html, "HOSTS", 0)  # joined by salts
+    assert {r.page_id: r.text for r in html.extract(pages).collect()} == want
+
+
 def test_marks_are_whole_words_and_never_on_what_holds_the_article(spark):
     rows, want = [], {}
     for n in range(8):
