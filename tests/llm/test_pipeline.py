@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entries
 import corpus_pipeline
@@ -87,3 +88,21 @@ def test_one_row_of_each_group_of_near_duplicates_stays(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = [(r.doc_id, r.text and r.text[0]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
     assert sorted(got, key=str) == sorted([(1, "a"), (None, "b"), (2, "c"), (3, "d"), (4, "e"), (None, "f"), (None, None), (None, None)], key=str)
+
+
+def test_columns_named_like_working_ones_stay(spark, corpus):
+    docs = spark.read.parquet(f"{corpus}/documents.parquet").limit(30)
+    names = ["_score", "_cut", "_hits", "_h", "_doc", "_runs", "_near_id", "_near_h", "_near_out", "cut", "hits"]
+    docs = corpus_pipeline.save(docs.select("*", *(F.concat(F.lit(n), F.col("doc_id").cast("string")).alias(n) for n in names)))
+    want = {r.doc_id: tuple(r[n] for n in names) for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, corpus)
+        assert out.columns == docs.columns, name
+        assert all(tuple(r[n] for n in names) == want[r.doc_id] for r in out.collect()), name
+
+
+def test_rows_are_decided_one_by_one(spark, corpus):
+    near = " ".join(f"z{k}" for k in range(90))
+    docs = spark.createDataFrame([(0, near), (1, near), (1, "a text of its own that nobody else has"), (None, near)], "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.text[:1]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, corpus).collect())
+    assert got == [("0", "z"), ("1", "a")]
