@@ -1,7 +1,8 @@
 """Corpus pipeline: toxicity, repeated passages, near-duplicates, benchmark contamination, token ids.
 
 Each stage takes (spark, docs, sf_dir), works on all rows it is given and returns a DataFrame; all but the last return the
-columns of documents. Nulls, empty tables and repeated rows are treated as the operators say.
+columns of documents, whatever these are called: working columns get free names. Nulls, empty tables and repeated rows are
+treated as the operators say.
 """
 
 from __future__ import annotations
@@ -10,19 +11,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.llm import bpe, decontaminate, linededup, minhash, toxicity
-from strandloom.llm.common import save, table
+from strandloom.llm.common import free_name, table
+from strandloom.plans.tables import drop, written as save
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose score is under toxicity.REJECT; the model learns from the labels of these rows."""
+    """Rows whose score is under toxicity.REJECT; the model learns from the labels of these rows.
+
+    Each row is decided by its own text, also where ids are null or repeated; a null text is scored as an empty one.
+    """
     model = spark.sparkContext.broadcast(toxicity.train(docs, table(spark, sf_dir, "labels")))
-    scored = docs.withColumn("_score", toxicity.toxicity(F.col("text").cast("string"), model))
-    return scored.where(F.col("_score") < toxicity.REJECT).select(*docs.columns)
+    score = free_name(docs, "_score")
+    scored = docs.withColumn(score, toxicity.toxicity(F.col("text").cast("string"), model))
+    return scored.where(F.col(score) < toxicity.REJECT).select(*docs.columns)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows, later repeats of passages cut out of text; n_chars follows. A document that is all repeats stays with ''."""
-    done = linededup.without_repeats(docs, out="_cut").withColumn("text", F.col("_cut.text"))
+    cut = free_name(docs, "_cut")
+    done = linededup.without_repeats(docs, out=cut).withColumn("text", F.col(cut)["text"])
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return done.select(*docs.columns)
@@ -39,18 +46,20 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     near = save(near.withColumn("key", F.struct(F.col("doc_id").isNull(), "doc_id", "h")))
     kept = near.groupBy("root").agg(F.min("key").alias("kept"))
     near = near.join(kept, "root").select("doc_id", "h", "m", (~F.col("key").eqNullSafe(F.col("kept"))).alias("rejected")).where("rejected or m > 1")
-    near = save(near.select(F.col("doc_id").alias("_id"), F.col("h").alias("_nh"), "rejected"))
-    own = docs.withColumn("_h", F.xxhash64(F.col("text").cast("string")))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_nh"))
-    single = own.join(near, same, "left_anti")
-    repeated = own.join(near.where("not rejected"), same, "left_semi").dropDuplicates(["doc_id", "_h"])
+    h, id_, nh, out = (free_name(docs, x) for x in ("_h", "_near_id", "_near_h", "_near_out"))
+    near = save(near.select(F.col("doc_id").alias(id_), F.col("h").alias(nh), F.col("rejected").alias(out)))
+    own = docs.withColumn(h, F.xxhash64(F.col("text").cast("string")))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.col(h) == F.col(nh))
+    single = own.join(near.hint("merge"), same, "left_anti")
+    repeated = own.join(near.where(~F.col(out)).hint("merge"), same, "left_semi").dropDuplicates(["doc_id", h])
     return single.unionByName(repeated).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that aren't contaminated by items of benchmark."""
-    marked = decontaminate.with_hits(docs, table(spark, sf_dir, "benchmark"), out="_hits")
-    return marked.where(~decontaminate.contaminated(F.col("_hits"))).select(*docs.columns)
+    """Rows that aren't contaminated by items of benchmark; each is decided by its own text."""
+    hits = free_name(docs, "_hits")
+    marked = decontaminate.with_hits(docs, table(spark, sf_dir, "benchmark"), out=hits)
+    return marked.where(~decontaminate.contaminated(F.col(hits))).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -78,6 +87,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    kept = None
     for _, stage in STAGES[:-1]:
         docs = save(stage(spark, docs, sf_dir))
+        drop(kept)  # what the stage before wrote
+        kept = docs
     return STAGES[-1][1](spark, docs, sf_dir)
