@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import SPACE, U64, LOWER, mix, pieces, table, utf8_parts, word_hashes
+from strandloom.llm.common import SPACE, U64, LOWER, free_name, mix, pieces, table, utf8_parts, word_hashes
 from strandloom.plans.tables import drop, written as save
 
 #: Any run of REPEAT words that stands twice shares a fingerprint: REPEAT = GRAM + window - 1.
@@ -71,7 +71,8 @@ def _select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in pieces(offsets):
             words, at = word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], SPACE)
             fp, row, pos = fingerprints(words, at)
-            yield pa.RecordBatch.from_arrays([pa.array(fp, pa.int64()), batch.column(0)[a:b].take(pa.array(row)), pa.array(pos.astype(np.int32))], names=["key", "doc", "pos"])
+            row = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(fp, pa.int64()), batch.column(0)[a:b].take(row), batch.column(2)[a:b].take(row), pa.array(pos.astype(np.int32))], names=["key", "doc", "h", "pos"])
 
 
 class Sums:
@@ -223,47 +224,54 @@ def without_runs(text: Column, runs: Column) -> Column:
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
-    """(doc, h, runs) of docs (doc, text, h): in each text, runs of at least REPEAT words that stand at an earlier (doc, word) place too.
+    """(doc, h, runs) of docs (doc, text, h): in each text, runs of at least REPEAT words that stand at an earlier (doc, h, word) place too.
 
-    Every occurrence of a fingerprint is compared with its first one. A window of REPEAT words that this match doesn't
-    hold may still stand at another earlier place, so runs of more words around the fingerprint are grouped next, and last
-    the windows themselves: three rounds, and in each the pairs grow with the occurrences, never with their squares.
+    A document is a pair of doc and h, the hash of its text; equal rows are one. Every occurrence of a fingerprint is compared
+    with its first one. A window of REPEAT words that this match doesn't hold may still stand at another earlier place, so
+    runs of more words around the fingerprint are grouped next, and last the windows themselves: three rounds, and in each the
+    pairs grow with the occurrences, never with their squares. First places are minima taken before rows are dealt out, and are
+    written, so that the joins with them are between plain tables and a hot key is split.
     """
-    prints = save(docs.select("doc", "text").mapInArrow(_select, "key long, doc long, pos int"))
-    twice = prints.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
-    again = save(prints.join(twice, "key", "left_semi"))
-    drop(prints)
-    # texts are always dealt by sorted joins: alike at every size, and never with a broadcast of what grows
-    held = save(docs.join(again.select("doc").distinct().hint("merge"), "doc", "left_semi").select(F.col("doc").alias("k"), "text", "h"))
-    found = []
+    doc = ["doc", "h"]
+    again = save(docs.select("doc", "text", "h").mapInArrow(_select, "key long, doc long, h long, pos int"))
+    found, made = [], [again]
+    held = None
     for size, longer in zip(SIZES, (*SIZES[1:], None)):
-        first = again.groupBy("key").agg(F.min(F.struct("doc", "pos")).alias("at"), F.count("*").alias("m")).where("m > 1").select("key", F.col("at.doc").alias("s"), F.col("at.pos").alias("q"))
-        later = again.join(first, "key").where("doc > s or doc = s and pos > q")
-        pairs = save(later.groupBy("doc", "s").agg(F.collect_list(F.struct(F.col("pos").alias("p"), "q")).alias("places")))
-        drop(again)
+        first = again.groupBy("key").agg(F.min(F.struct("doc", "h", "pos")).alias("at"), F.max(F.struct("doc", "h", "pos")).alias("to")).where("at <> to")
+        first = save(first.select("key", F.col("at.doc").alias("s"), F.col("at.h").alias("sh"), F.col("at.pos").alias("q")))
+        later = again.join(first.hint("merge"), "key").where("doc <> s or h <> sh or pos > q")
+        pairs = save(later.groupBy(*doc, "s", "sh").agg(F.collect_set(F.struct(F.col("pos").alias("p"), "q")).alias("places")))
+        if held is None:
+            # texts are always dealt by sorted joins: alike at every size, and never with a broadcast of what grows
+            wanted = pairs.select(*doc).unionByName(pairs.select(F.col("s").alias("doc"), F.col("sh").alias("h"))).distinct()
+            held = save(docs.join(wanted.hint("merge"), doc, "left_semi").groupBy(*doc).agg(F.first("text").alias("text")))
         # both joins take the same columns of the texts, so that they are dealt out once
-        both = pairs.hint("merge").join(held.select(F.col("k").alias("doc"), F.col("text").alias("tt"), "h"), "doc").join(held.select(F.col("k").alias("s"), F.col("text").alias("ts"), F.col("h").alias("hs")).hint("merge"), "s")
-        step = save(both.select("doc", "h", "places", "tt", "ts", "hs").mapInArrow(_extend(size, longer), f"doc long, h long, runs {_RUNS_SQL}, open {_OPEN_SQL}"))
-        drop(pairs)
-        found.append(step.where("size(runs) > 0").select("doc", "h", "runs"))
+        both = pairs.hint("merge").join(held.select(*doc, F.col("text").alias("tt")), doc).join(held.select(F.col("doc").alias("s"), F.col("h").alias("sh"), F.col("text").alias("ts")).hint("merge"), ["s", "sh"])
+        step = save(both.select(*doc, "places", "tt", "ts").mapInArrow(_extend(size, longer), f"doc long, h long, runs {_RUNS_SQL}, open {_OPEN_SQL}"))
+        drop(first, pairs)
+        found.append(step.where("size(runs) > 0").select(*doc, "runs"))
+        made.append(step)
         if longer:
-            again = step.select("doc", F.explode("open").alias("o")).select("o.key", "doc", "o.pos")
-    drop(held)
-    return save(reduce(DataFrame.unionByName, found).groupBy("doc", "h").agg(F.collect_list("runs").alias("runs")))
+            again = step.select(*doc, F.explode("open").alias("o")).select("o.key", *doc, "o.pos")
+    out = save(reduce(DataFrame.unionByName, found).groupBy(*doc).agg(F.collect_list("runs").alias("runs")))
+    drop(held, *made)
+    return out
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out: str = "cut") -> DataFrame:
     """docs with a struct column out (text, n_words, n_removed): the text without later repeats.
 
     Words are `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased. A run of at least REPEAT words goes where it stands at an earlier place
-    (a smaller id, or before it in the same text); shorter repeats stay. A null id comes last. Rows of one id and text
-    are one document and keep the same; an emptied text is ''. Null texts stay null with no words; texts of fewer than
-    REPEAT words stay. A column already named out is replaced; every other column stays.
+    (a smaller id, null ids last; of one id or none, the text of the smaller hash; or before it in the same text); shorter repeats
+    stay. Rows of one id and text are one document and keep the same; an emptied text is ''. Null texts stay null with no words;
+    texts of fewer than REPEAT words stay. A column already named out is replaced; every other column stays, whatever its name.
     """
-    d = docs.drop(out).withColumn("_doc", F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID))).withColumn("_h", F.xxhash64(F.col(text_col).cast("string")))
-    runs = repeated_runs(d.select(F.col("_doc").alias("doc"), F.col(text_col).cast("string").alias("text"), F.col("_h").alias("h")))
-    joined = d.join(runs.select(F.col("doc").alias("_doc"), F.col("h").alias("_h"), F.col("runs").alias("_runs")).hint("merge"), ["_doc", "_h"], "left")
-    return joined.withColumn(out, without_runs(F.col(text_col).cast("string"), F.col("_runs"))).drop("_doc", "_h", "_runs")
+    d = docs.drop(out)
+    doc, h, runs = (free_name(d, x) for x in ("_doc", "_h", "_runs"))
+    d = d.withColumn(doc, F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID))).withColumn(h, F.xxhash64(F.col(text_col).cast("string")))
+    found = repeated_runs(d.select(F.col(doc).alias("doc"), F.col(text_col).cast("string").alias("text"), F.col(h).alias("h")))
+    joined = d.join(found.select(F.col("doc").alias(doc), F.col("h").alias(h), F.col("runs").alias(runs)).hint("merge"), [doc, h], "left")
+    return joined.withColumn(out, without_runs(F.col(text_col).cast("string"), F.col(runs))).drop(doc, h, runs)
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

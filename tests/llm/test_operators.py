@@ -188,6 +188,24 @@ def test_repeated_rows_are_one_document(spark):
     assert linededup.without_repeats(docs(spark, [t]).limit(0)).count() == 0
 
 
+def test_texts_without_an_id_or_of_one_id_are_told_apart(spark):
+    rng = random.Random(2)
+    passage = words(60, rng, 10**6)
+    for id_ in (None, 4):
+        rows = [(id_, passage + " one"), (id_, passage + " two"), (id_, passage + " two"), (id_, "x " + passage), (9, passage)]
+        d = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, _doc int, _h int, _runs int")
+        done = linededup.without_repeats(d)
+        assert done.columns == [*d.columns, "cut"]
+        got = done.collect()
+        assert all((r["_doc"], r["_h"], r["_runs"]) == (1, 2, 3) for r in got)
+        cuts = {(r.doc_id, r.text): r.cut.n_removed for r in got}
+        if id_ is None:  # the one with an id comes first
+            assert sorted(cuts.values()) == [0, 60, 60, 60] and cuts[9, passage] == 0
+        else:
+            first = [k for k, n in cuts.items() if n == 0]
+            assert sorted(cuts.values()) == [0, 60, 60, 60] and first[0][0] == 4
+
+
 # 4 and 5
 
 TRICKY = ["a\x0bb\x0cc\x1cd\x85e\xa0f", "<|startoftext|>Hi<|endoftext|> x<|endoftext|>y", "DON'T we'll it's İSTANBUL ΑΣ Σ", "é ́x q̣̇", "aaaaaaaaaaaa !!!!!!! 12345 ½ ②", "日本語 한국어 العربية हिन्दी ก็ 😀👍🏽", "​﻿᠎", "ÀÉǅ ŉ ǰ"]
