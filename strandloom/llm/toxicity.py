@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from strandloom.llm.common import NONWORD, U64, _BYTE_VALUES, _power_tables, LOWER, mix, pieces, table, utf8_parts
 
-#: Training: at most this many labelled texts, drawn by a hash of the id, none longer than LONGEST bytes.
-TEXTS, LONGEST = 5_000, 60_000
+#: Training: at most this many labelled ids, drawn by a hash of the id; of their texts, none longer than LONGEST bytes, at most
+#: twice as many (ids may be repeated) and BYTES in all are brought to the driver.
+TEXTS, LONGEST, BYTES = 5_000, 60_000, 100_000_000
 #: Hashed features: each word, and its openings of these many bytes.
 DIM, OPENINGS = 1 << 19, (4, 5, 6, 7, 8)
 STEPS, RATE, SPARSE, START, GAIN, HIDE = 400, 0.05, 1e-4, -12.0, 25.0, 0.6
@@ -134,13 +135,21 @@ def held_out(id_: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Fit on a bounded sample of the labelled rows that are not held out; a label that is null counts for nothing."""
+    """Fit on a bounded sample of the labelled rows that are not held out; a label that is null counts for nothing, equal rows count once."""
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TEXTS)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(F.octet_length("text") <= LONGEST)
-    rows = sorted(texts.join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "toxic").collect(), key=lambda r: (r.doc_id, r.text))
-    rows = rows[: 2 * TEXTS]
+    texts = texts.join(F.broadcast(drawn), "doc_id").withColumn("h", F.xxhash64("text"))  # at most TEXTS rows
+    sizes = texts.groupBy("doc_id", "h").agg(F.max(F.octet_length("text")).alias("size")).orderBy(F.xxhash64("doc_id"), "doc_id", "h").limit(2 * TEXTS).collect()
+    chosen, total = [], 0
+    for r in sizes:
+        total += r.size
+        if total <= BYTES:
+            chosen.append((r.doc_id, r.h))
+    chosen = docs.sparkSession.createDataFrame(chosen, "doc_id long, h long")
+    found = texts.join(F.broadcast(chosen), ["doc_id", "h"], "left_semi").groupBy("doc_id", "h").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    rows = sorted(found.collect(), key=lambda r: (r.doc_id, r.text))
     return fit([r.text for r in rows], [r.toxic for r in rows])
 
 
