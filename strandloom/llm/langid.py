@@ -15,14 +15,15 @@ from pyspark.sql import functions as F
 from strandloom.llm.common import pieces, table, utf8_parts
 
 #: Training: at most this many labelled texts and symbols of a language, drawn by a hash of the id; longer texts than
-#: LONGEST bytes are not drawn. CELLS bounds all tables together.
+#: LONGEST bytes are not drawn. CELLS bounds all tables together, so with many languages (over 4 with 62 letters) each has fewer symbols.
 TEXTS, SYMBOLS, LONGEST, CELLS = 120, 40_000, 100_000, 24_000_000
+#: What is brought to the driver: the openings of the drawn texts, this many characters in all, of at most so many languages
+#: (those with most labelled rows).
+CHARACTERS, LANGUAGES = 60_000_000, 1_000
 #: Up to ALPHABET letters have a symbol each. Of more, as many as leave room for HEADS and TAILS have one, all others are
 #: spelled as a head and one to three tails, enough for every letter there is; a spelling begins nowhere but at its head.
 ALPHABET, HEADS, TAILS = 62, 16, 24
-#: Ids of drawn texts that are broadcast.
-DRAWN = 100_000
-#: A text is parsed in stretches of this many symbols, so that many are parsed in step; a phrase ends with its stretch.
+#: Texts are parsed in stretches of this many symbols, so that many are parsed in step; see Model.phrases().
 STRETCH = 512
 
 
@@ -140,19 +141,12 @@ class Model:
             _built[self.key] = self
         return _built[self.key]
 
-    def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
-        """Phrases of each text (rows) in each language (columns)."""
-        parts = [-(-len(t) // STRETCH) for t in texts]
-        flat = np.concatenate([*texts, np.zeros(0, np.uint8)]).astype(np.int64)
-        begins = np.cumsum([0, *map(len, texts)])
-        start = np.concatenate([begins[k] + STRETCH * np.arange(n) for k, n in enumerate(parts)]).astype(np.int64)
-        of = np.repeat(np.arange(len(texts)), parts)
-        size = np.minimum(STRETCH, begins[of + 1] - start)
+    def parse(self, flat: np.ndarray, start: np.ndarray, size: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases that end in each stretch (rows) in each language (columns), and the states after it, from the states before it."""
         order = np.argsort(-size, kind="stable")
-        start, size, of = start[order], size[order], of[order]
+        start, size, state = start[order], size[order], state[order]
         roots = np.array(self.root, np.int64)
-        count = np.zeros((len(start), len(roots)), np.int64)
-        state = np.tile(roots, (len(start), 1))
+        count = np.zeros(state.shape, np.int64)
         live = np.searchsorted(-size, -np.arange(STRETCH), side="left")
         for t in range(int(size[0]) if len(size) else 0):
             n = live[t]
@@ -164,7 +158,31 @@ class Model:
                 count[:n] += stuck.astype(np.int64) + (stuck & (again == 0) & (state[:n] != roots))  # a symbol of no training text is a phrase too
                 got = np.where(stuck, np.where(again == 0, roots, again), got)
             state[:n] = got
-        count += state != roots
+        back = np.argsort(order)
+        return count[back], state[back]
+
+    def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
+        """Phrases of each text (rows) in each language (columns).
+
+        All stretches are parsed at once as if phrases began with them, and then again from the states that the stretches before
+        them leave, until no such state changes: the result is that of a parse from the beginning of each text to its end.
+        """
+        parts = [-(-len(t) // STRETCH) for t in texts]
+        flat = np.concatenate([*texts, np.zeros(0, np.uint8)]).astype(np.int64)
+        begins = np.cumsum([0, *map(len, texts)])
+        start = np.concatenate([begins[k] + STRETCH * np.arange(n) for k, n in enumerate(parts)] or [np.zeros(0)]).astype(np.int64)
+        of = np.repeat(np.arange(len(texts)), parts)
+        size = np.minimum(STRETCH, begins[of + 1] - start)
+        roots = np.array(self.root, np.int64)
+        before = np.tile(roots, (len(start), 1))
+        count, after = self.parse(flat, start, size, before)
+        inner = np.flatnonzero(start != begins[of])
+        while len(inner):
+            inner = inner[(after[inner - 1] != before[inner]).any(axis=1)]
+            before[inner] = after[inner - 1]
+            count[inner], after[inner] = self.parse(flat, start[inner], size[inner], before[inner])
+            inner = inner[:0] if not len(inner) else np.flatnonzero(start != begins[of])
+        count += (after != roots) & (start + size == begins[of + 1])[:, None]
         out = np.zeros((len(texts), len(roots)), np.int64)
         np.add.at(out, of, count)
         return out
@@ -187,17 +205,25 @@ class Model:
 
 
 def train(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Fit on a bounded sample of rows with a language that are not held out; the sample is chosen without moving texts."""
+    """Fit on a bounded sample of rows with a language that are not held out: TEXTS rows of each of LANGUAGES languages and
+    CHARACTERS characters of them in all; equal rows count once. The sample is chosen without moving texts."""
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    d = d.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out & (F.octet_length("text") <= LONGEST))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    drawn = d.select("lang", "doc_id").withColumn("k", F.row_number().over(order)).where(F.col("k") <= TEXTS).drop("k").distinct()
-    if drawn.count() <= DRAWN:  # otherwise, with very many languages, by a sorted join
-        drawn = F.broadcast(drawn)
+    d = d.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out & (F.octet_length("text") <= LONGEST)).withColumn("h", F.xxhash64("text"))
+    known = d.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    langs = [r.lang for r in known.collect()]
+    if not langs:
+        return Model({})
+    known = docs.sparkSession.createDataFrame([(x,) for x in langs], "lang string")
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "h")
+    rows = d.select("lang", "doc_id", "h").join(F.broadcast(known), "lang")  # at most LANGUAGES rows
+    drawn = rows.withColumn("k", F.dense_rank().over(order)).where(F.col("k") <= TEXTS).select("lang", "doc_id", "h").distinct()
+    most = min(SYMBOLS, max(1, CHARACTERS // (TEXTS * len(langs))))
+    cut = F.substring("text", 1, most).alias("text")
+    found = d.join(F.broadcast(drawn), ["lang", "doc_id", "h"], "left_semi").groupBy("lang", "doc_id", "h").agg(F.min(cut).alias("text"))  # TEXTS rows for each language
     texts = defaultdict(list)
-    for r in sorted(d.join(drawn, ["lang", "doc_id"], "left_semi").collect(), key=lambda r: (r.lang, r.doc_id, r.text)):
+    for r in sorted(found.collect(), key=lambda r: (r.lang, r.doc_id, r.text)):
         texts[r.lang].append(r.text)
-    return Model({k: v[: 2 * TEXTS] for k, v in texts.items()})
+    return Model(texts)
 
 
 GUESS = "struct<lang_pred:string,score:double>"

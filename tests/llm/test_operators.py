@@ -318,6 +318,39 @@ def test_phrases_of_a_text_by_hand():
     assert m.phrases([text]).tolist() == [[3, 6]]
 
 
+def test_phrases_of_long_texts_against_a_plain_parse(monkeypatch):
+    rng = random.Random(3)
+    monkeypatch.setattr(langid, "STRETCH", 16)
+    letters = [chr(0x61 + k) for k in range(6)] + [chr(0x4E00 + k) for k in range(90)]
+    bank = ["".join(rng.choice(letters) for _ in range(rng.randrange(2, 9))) for _ in range(40)]
+    drawn = {x: [" ".join(rng.choice(bank[k * 10 : k * 10 + 20]) for _ in range(60)) for _ in range(4)] for k, x in enumerate("xyz")}
+    m = langid.Model(drawn).built()
+    texts = [langid.symbols_of(" ".join(rng.choice(bank) for _ in range(n)).encode(), m.symbols) for n in (0, 1, 5, 300, 1200)] + [m.seqs[0][:700]]
+    for text, got in zip(texts, m.phrases(texts).tolist()):
+        for seq, n in zip(m.seqs, got):
+            known, t, at, count = bytes(seq), bytes(text), 0, 0
+            while at < len(t):
+                size = 1
+                while at + size < len(t) and t[at : at + size + 1] in known:
+                    size += 1
+                at, count = at + size, count + 1
+            assert n == count
+
+
+def test_samples_are_bounded_whatever_is_repeated(spark, monkeypatch):
+    monkeypatch.setattr(langid, "TEXTS", 3)
+    monkeypatch.setattr(langid, "LANGUAGES", 2)
+    monkeypatch.setattr(toxicity, "TEXTS", 2)
+    rows = [(1, f"text number {k}", "aa") for k in range(50)] + [(3, "same", "bb")] * 40 + [(7, "x", "cc")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    m = langid.train(d, F.lit(False))
+    assert m.langs == ["aa", "bb"] and len(bytes(m.seqs[1])) == 4 and 0 < len(m.seqs[0]) <= 3 * 12
+    sent = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, labels: sent.append((texts, labels)))
+    toxicity.train(d, spark.createDataFrame([(1, 1), (3, 0), (8, 1)], "doc_id long, toxic int"))
+    assert len(sent[0][0]) <= 4 and all(x in (0, 1) for x in sent[0][1])
+
+
 def test_languages_of_rare_scripts(spark):
     rng, rows, want = random.Random(8), [], {}
     for base, lang in ((0x61, "aa"), (0x3B1, "bb"), (0x430, "cc"), (0x561, "dd"), (0x10D0, "ee"), (0x5D0, "ff"), (0x4E00, "gg"), (0x5E00, "hh")):
