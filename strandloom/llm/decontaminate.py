@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.llm.common import WORD_MAP, table
+from strandloom.plans.tables import drop, written as save
 
 WINDOW = 13
 #: Words of items in one automaton; larger benchmarks are scanned for in several blocks of this size.
@@ -27,7 +28,7 @@ class Windows:
     """The automaton. Every word that an item has is spelt as a fixed number of letters, each place with letters of its
     own, so a node has few children, matches begin at words only, and a match's end gives its word at once."""
 
-    def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, str]], window: int = WINDOW):
         import ahocorasick
 
         rows = [(i, words_of(t)) for i, t in items]
@@ -51,7 +52,7 @@ class Windows:
         for i, ws in rows:
             size = min(window, len(ws))
             for a in range(len(ws) - size + 1 if ws else 0):
-                found.setdefault("".join(self.code[w] for w in ws[a : a + size]), (size, set()))[1].add(i)
+                found.setdefault("".join(self.code[w] for w in ws[a : a + size]), (size, set()))[1].update([] if i is None else [i])
         self.automaton = ahocorasick.Automaton()
         for key, (size, owners) in found.items():
             self.automaton.add_word(key, (size, sorted(owners)))
@@ -85,15 +86,19 @@ _HITS_PA = pa.struct([
 
 
 def places(text: bytes, spans: list[list[int]]) -> list[dict]:
-    """Spans of words as spans of code points of the text as it was."""
+    """Spans of words, in order, as spans of code points of the text as it was; each part of the text is decoded once."""
     if not spans:
         return []
     at = [m.span() for m in _WORD.finditer(text.translate(bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))))]
-    chars = lambda n: len(text[:n].decode("utf-8", "ignore"))
-    return [{"a": chars(at[a][0]), "b": chars(at[b - 1][1])} for a, b in spans]
+    edges = [e for a, b in spans for e in (at[a][0], at[b - 1][1])]
+    chars, n = [], 0
+    for lo, hi in zip([0, *edges], edges):
+        n += len(text[lo:hi].decode("utf-8", "ignore"))
+        chars.append(n)
+    return [{"a": a, "b": b} for a, b in zip(chars[::2], chars[1::2])]
 
 
-def blocks(items: Iterator[tuple[str, str]], most: int = BLOCK_WORDS) -> Iterator[list[tuple[str, str]]]:
+def blocks(items: Iterator[tuple[str | None, str]], most: int = BLOCK_WORDS) -> Iterator[list[tuple[str | None, str]]]:
     held, size = [], 0
     for i, t in items:
         n = len(words_of(t))
@@ -165,19 +170,25 @@ def merged(spans: list[list[int]]) -> list[list[int]]:
 def with_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", out: str = "hits", window: int = WINDOW) -> DataFrame:
     """docs with a struct column out: n_words, n_hit, items, spans (of words) and chars (of code points of the text as it was).
 
-    The items are gathered in blocks of at most BLOCK_WORDS words, and each block is broadcast by itself; the usual
-    benchmark is one block, and then the texts are scanned once. Null or empty texts have no words; null or empty
-    items, and an empty benchmark, have no windows; items of one id are one item; null ids name no item but their
-    windows count. A column already named out is replaced; every other column stays.
+    The items are gathered in blocks of at most BLOCK_WORDS words (an item of more is one), held by the driver and broadcast
+    one at a time; the usual benchmark is one block, and then the texts are scanned once. Of more blocks, the rows with what was
+    found so far are written after each, so one automaton is held at a time whatever the size of the benchmark. Null or empty texts
+    have no words; null or empty items, and an empty benchmark, have no windows; items of one id are one item; null ids name no
+    item but their windows count. A column already named out is replaced; every other column stays.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("string"), F.col(item_text).cast("string")).where(F.col(item_text).isNotNull())
-    seen, result = False, docs.drop(out)
-    for block in blocks((("" if r[0] is None else r[0], r[1]) for r in items.toLocalIterator())):
-        sent = spark.sparkContext.broadcast(block)
-        result = result.withColumn(out, hits(F.col(text_col).cast("string"), F.col(out) if seen else None, sent, window))
-        seen = True
-    if not seen:
+    seen, result, kept = None, docs.drop(out), None
+    for block in blocks(((r[0], r[1]) for r in items.toLocalIterator())):
+        if seen is not None:
+            now = save(result)
+            seen.destroy()
+            drop(kept)
+            result = kept = now
+        before = F.col(out) if seen is not None else None
+        seen = spark.sparkContext.broadcast(block)
+        result = result.withColumn(out, hits(F.col(text_col).cast("string"), before, seen, window))
+    if seen is None:
         result = result.withColumn(out, hits(F.col(text_col).cast("string"), None, spark.sparkContext.broadcast([]), window))
     return result
 
