@@ -97,43 +97,38 @@ _BETWEEN = {"space": SPACE, "word": NONWORD}
 
 
 def _confirm(k: int, word: str, similar: int):
+    """(u, v) of stars that hold: rows (hub, salt, node, text) come by hub and salt, the hub's own text first (node null)."""
     schema = pa.schema([("u", pa.binary()), ("v", pa.binary())])
 
-    def sets(col: pa.Array) -> list[np.ndarray]:
-        """Equal neighbours (a hub's rows follow each other after the join) are hashed once."""
-        out: list[np.ndarray] = []
-        last, lasts = None, None
-        for x in col:
-            raw = x.as_buffer()
-            if last is None or raw.size != last.size or not raw.equals(last):
-                data = np.frombuffer(raw, np.uint8)
-                last, lasts = raw, next(iter(shingle_sets(data, np.array([0, len(data)]), k, _BETWEEN[word])))
-            out.append(lasts)
-        return out
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = None
         for batch in batches:
-            offsets, _ = utf8_parts(batch.column(2))
+            offsets, data = utf8_parts(batch.column(3))
             for a, b in pieces(offsets, 1_000_000):
-                one = sets(batch.column(2)[a:b].cast(pa.large_binary()))
-                two = sets(batch.column(3)[a:b].cast(pa.large_binary()))
-                keep = []
-                for x, y in zip(one, two):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(100 * both >= similar * (len(x) + len(y) - both))
-                keep = pa.array(keep, pa.bool_())
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b].filter(keep), batch.column(1)[a:b].filter(keep)], schema=schema)
+                keep = np.zeros(b - a, bool)
+                sets = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], k, _BETWEEN[word])
+                hub = batch.column(2)[a:b].is_null().to_numpy(zero_copy_only=False)
+                for i, s in enumerate(sets):
+                    if hub[i]:
+                        own = s
+                    else:
+                        both = len(np.intersect1d(own, s, assume_unique=True))
+                        keep[i] = 100 * both >= similar * (len(own) + len(s) - both)
+                yield pa.RecordBatch.from_arrays([batch.column(c)[a:b].filter(pa.array(keep)) for c in (0, 2)], schema=schema)
 
     return run
 
 
 def _links(pairs: DataFrame, texts: DataFrame, k: int, word: str, similar: int) -> DataFrame:
-    """Those pairs (u, v) of sets whose full shingle sets are similar enough."""
-    both = (
-        pairs.join(texts.select(F.col("node").alias("v"), F.col("text").alias("tv")), "v")
-        .join(texts.select(F.col("node").alias("u"), F.col("text").alias("tu")), "u")
-        .select("u", "v", "tv", "tu")
-    )
+    """Those stars (hub u, node v) whose full shingle sets are similar enough.
+
+    The members of a hub are dealt out in groups of about BLOCK, and a hub's text goes to each group once, not to each member.
+    """
+    sizes = pairs.groupBy("u").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("many"))
+    members = pairs.join(sizes.hint("merge"), "u").select("u", F.pmod(F.xxhash64("v"), F.col("many")).cast("int").alias("salt"), F.col("v").alias("node"))
+    members = members.hint("merge").join(texts, "node").select("u", "salt", "node", "text")
+    hubs = sizes.hint("merge").join(texts.withColumnRenamed("node", "u"), "u").select("u", F.explode(F.sequence(F.lit(0), F.col("many") - 1)).alias("salt"), F.lit(None).cast("binary").alias("node"), "text")
+    both = members.unionByName(hubs).repartition("u", "salt").sortWithinPartitions("u", "salt", F.col("node").asc_nulls_first())
     return both.mapInArrow(_confirm(k, word, similar), "u binary, v binary")
 
 
@@ -246,7 +241,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def texts(wanted: DataFrame) -> DataFrame:
         found = rows.where("n > 0").join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct("h", "doc_id")).alias("at"))
         found = found.select("node", F.col("at.h").alias("h"), F.col("at.doc_id").alias("d"))
-        return docs.join(found, (docs["h"] == found["h"]) & docs["doc_id"].eqNullSafe(found["d"])).select("node", "text")
+        same = docs.join(found, (docs["h"] == found["h"]) & docs["doc_id"].eqNullSafe(found["d"])).select("node", "text")
+        return same.groupBy("node").agg(F.first("text").alias("text"))  # repeated rows give a node one text
 
     chosen = save(texts(inside))
     links = save(_links(stars, chosen, k, word, similar).distinct())
