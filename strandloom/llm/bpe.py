@@ -1,8 +1,7 @@
 """Token counts, BPE encoding and decoding for a tokenizers file with word-end BPE.
 
-White space of ASCII ends every pre-token of such a file, so texts are cut there first, and inside a cut (a chunk) the
-file's own normaliser and pre-tokenizer decide. Counting works on each distinct pre-token of all documents once; encoding
-on each distinct chunk of many documents.
+White space of ASCII ends every pre-token of such a file, so texts are cut there first and each distinct cut
+(a chunk) is worked on once for many documents; inside a chunk the file's own normaliser and pre-tokenizer decide.
 """
 
 from __future__ import annotations
@@ -10,18 +9,18 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import mul
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import table, utf8_parts
-from strandloom.plans.tables import written as save
+from strandloom.llm.common import table
 
 #: Distinct chunks a worker remembers between batches; past it the memory is cleared, and chunks are counted anew.
 REMEMBER = 150_000
@@ -220,124 +219,27 @@ def _groups(texts: Iterator[bytes], at_most: int = 2_000_000) -> Iterator[list[l
         yield held
 
 
-#: Documents whose chunk frequencies are laid down together: this many bytes of text, and fewer documents than 16 bits count.
-BLOCK_BYTES, BLOCK_DOCS = 16_000_000, 65_000
-
-
-class Block:
-    """The chunk frequencies of some documents: for each distinct chunk the documents that have it and how often."""
-
-    def __init__(self):
-        self.ids: list[int | None] = []
-        self.sizes: list[int] = []
-        self.known: dict[bytes, int] = {}
-        self.flat: list[np.ndarray] = []
-        self.bytes = 0
-
-    def add(self, id_: int | None, text: bytes) -> None:
-        known = self.known
-        words = np.fromiter((known.setdefault(w, len(known)) for w in text.split()), np.int64)
-        self.flat.append(words << 16 | len(self.ids))
-        self.ids.append(id_)
-        self.sizes.append(len(text))
-        self.bytes += len(text)
-
-    def rows(self, block: int) -> Iterator[pa.RecordBatch]:
-        """One row for each chunk (at: documents, times: how often), and one without a chunk that has the ids and sizes of the documents."""
-        key, times = np.unique(np.concatenate(self.flat), return_counts=True)
-        ends = np.searchsorted(key, np.arange(1, len(self.known) + 1) << 16)
-        at, n = (key & 0xFFFF).astype("<u2"), times.astype("<u4")
-        split = lambda x: pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int64) * x.itemsize), pa.py_buffer(x.tobytes())])
-        names = [f.name for f in _POSTINGS]
-        whole = pa.RecordBatch.from_arrays([
-            pa.array(np.full(len(ends), block)), pa.array(list(self.known), pa.large_binary()), split(at), split(n), pa.nulls(len(ends), _IDS), pa.nulls(len(ends), _IDS),
-        ], names=names)
-        for a in range(0, len(ends), 20_000):
-            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(whole.slice(a, 20_000).columns, _POSTINGS)], schema=_POSTINGS)
-        yield pa.RecordBatch.from_arrays([pa.array([block]), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([self.ids], _IDS), pa.array([self.sizes], _IDS)], schema=_POSTINGS)
-
-
-_IDS = pa.list_(pa.int64())
-_POSTINGS = pa.schema([("block", pa.int64()), ("chunk", pa.binary()), ("at", pa.binary()), ("times", pa.binary()), ("ids", _IDS), ("sizes", _IDS)])
-_POSTINGS_SQL = "block long, chunk binary, at binary, times binary, ids array<long>, sizes array<long>"
-
-
-def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of a task's documents (id, text), numbered by task and place: the rows are written, so each block has one number."""
-    made, held = TaskContext.get().partitionId() << 32, Block()
-    for batch in batches:
-        for id_, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary())):
-            held.add(id_, text.as_py() or b"")
-            if held.bytes > BLOCK_BYTES or len(held.ids) >= BLOCK_DOCS:
-                yield from held.rows(made)
-                made, held = made + 1, Block()
-    if held.ids:
-        yield from held.rows(made)
-
-
-def _pieces(path: str):
-    """(chunk, piece, n): the pre-tokens of each chunk; a chunk with special strings has its count n instead."""
-    schema = pa.schema([("chunk", pa.binary()), ("piece", pa.binary()), ("n", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = _merger(path)
-        for batch in batches:
-            chunks = batch.column(0).to_pylist()
-            odd = [c for c in chunks if any(x in c for x in m.marks)]
-            plain = [c for c in chunks if not any(x in c for x in m.marks)] if odd else chunks
-            words, has = m.pretokens(plain)
-            of = np.repeat(np.arange(len(plain)), has)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(plain, pa.binary()).take(pa.array(of)), pa.array([w.encode("utf-8", "surrogateescape") for w in words], pa.binary()), pa.nulls(len(words), pa.int64()),
-            ], schema=schema)
-            if odd:
-                n = [len(x) for x in m.lib.encode_batch([c.decode("utf-8", "replace") for c in odd], add_special_tokens=False)]
-                yield pa.RecordBatch.from_arrays([pa.array(odd, pa.binary()), pa.nulls(len(odd), pa.binary()), pa.array(n, pa.int64())], schema=schema)
-
-    return run
-
-
-def _sizes(path: str):
-    """(piece, size): how many tokens each pre-token has."""
-    schema = pa.schema([("piece", pa.binary()), ("size", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = _merger(path)
-        for batch in batches:
-            words = [w.decode("utf-8", "surrogateescape") for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(m.merge(words)[1], pa.int64())], schema=schema)
-
-    return run
-
-
-def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, n_bytes, n_tokens) of blocks, whose rows come together: n tokens for each time a chunk is in a document."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
-    now, ids, sizes, total = None, None, None, np.zeros(BLOCK_DOCS + 1, np.int64)
-
-    def ready() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([ids, sizes, pa.array(total[: len(ids)])], schema=schema)
-
-    for batch in batches:
-        block = batch.column(0).to_numpy()
-        edges = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
-        for a, b in zip(edges, edges[1:]):
-            if now is not None and block[a] != now:
-                yield ready()
-                ids, total = None, np.zeros(BLOCK_DOCS + 1, np.int64)
-            now, part = block[a], batch.slice(a, b - a)
-            named = np.flatnonzero(part.column(3).is_valid().to_numpy(zero_copy_only=False))
-            if len(named):
-                k = int(named[0])
-                ids, sizes = part.column(3)[k].values, part.column(4)[k].values
-            offsets, raw = utf8_parts(part.column(1))
-            at = np.frombuffer(raw[offsets[0] : offsets[-1]].tobytes(), "<u2")
-            offsets, raw = utf8_parts(part.column(2))
-            times = np.frombuffer(raw[offsets[0] : offsets[-1]].tobytes(), "<u4")
-            tokens = np.repeat(part.column(5).fill_null(0).to_numpy(zero_copy_only=False), np.diff(offsets) // 4)
-            total += np.bincount(at, tokens * times, minlength=len(total)).astype(np.int64)
-    if now is not None:
-        yield ready()
+def token_counts(text: Column, path: str | None = None) -> Column:
+    """How many ids the tokenizers library gives for each whole text (null: 0).
+
+    Per batch: the frequencies of each document's chunks, the pieces of each distinct chunk once, the join of
+    both, and the sum; no ids are kept. One table of the distinct pre-tokens of all documents, joined to frequencies laid down
+    per block of documents, gives the same counts but takes over twice the input in disk: most pre-tokens are rare.
+    """
+    path = path or tokenizer_path()
+
+    @F.arrow_udf("long")
+    def count(cols: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        lib = _library(path)
+        many = getattr(lib, "encode_batch_fast", lib.encode_batch)
+        known = _memory("counts", path, lambda new: [len(e) for e in many([c.decode("utf-8", "replace") for c in new], add_special_tokens=False)])
+        for col in cols:
+            for docs in _groups(_texts(col)):
+                freqs = [Counter(words) for words in docs]
+                known.learn(set().union(*freqs))
+                yield pa.array([sum(map(mul, f.values(), map(known.__getitem__, f))) for f in freqs], pa.int64())
+
+    return count(text)
 
 
 def _encode(texts: Iterator[bytes], path: str) -> Iterator[list[bytes]]:
@@ -397,25 +299,10 @@ def bpe_round_trip(text: Column, path: str | None = None) -> Column:
 
 
 def with_token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, limit: int = 2048) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit for each row: how many ids the tokenizers library gives for each whole text.
-
-    Chunk frequencies of documents are laid down in blocks; distinct chunks are cut into pre-tokens, and each distinct
-    pre-token of the corpus is counted once. The counts are joined to the frequencies by chunk (a chunk that every block has is
-    split over tasks) and summed by block; no document's ids are made. Null and empty texts count 0. Repeated rows each have a
-    result, a null id stays null; other columns are not read.
-    """
-    path = path or tokenizer_path()
+    """doc_id, n_bytes, n_tokens, over_limit for each row; null and empty texts count 0. Repeated rows each have a result, a null id stays null; other columns are not read."""
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    laid = save(d.mapInArrow(_postings, _POSTINGS_SQL))
-    freqs = laid.where("chunk is not null")
-    cut = save(freqs.select("chunk").distinct().mapInArrow(_pieces(path), "chunk binary, piece binary, n long"))
-    sizes = cut.where("piece is not null").select("piece").distinct().mapInArrow(_sizes(path), "piece binary, size long")
-    counts = save(cut.join(sizes.hint("merge"), "piece", "left").groupBy("chunk").agg(F.sum(F.coalesce("n", "size")).alias("n")))
-    joined = freqs.select("block", "chunk", "at", "times").hint("merge").join(counts, "chunk", "left").select("block", "at", "times", F.lit(None).cast("array<long>").alias("ids"), F.lit(None).cast("array<long>").alias("sizes"), "n")
-    named = laid.where("chunk is null").select("block", "at", "times", "ids", "sizes", F.lit(0).cast("long").alias("n"))
-    by_block = joined.unionByName(named).repartition("block").sortWithinPartitions("block")
-    out = by_block.mapInArrow(_sums, "doc_id long, n_bytes long, n_tokens long")
-    return out.withColumn("over_limit", F.col("n_tokens") > limit)
+    d = d.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), token_counts(F.col("text"), path).alias("n_tokens"))
+    return d.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
 def with_bpe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:

@@ -226,7 +226,7 @@ def test_bpe_equals_the_library(spark):
         assert both[i].decoded == lib.decode(ids, skip_special_tokens=False)
         assert (counts[i].n_tokens, counts[i].n_bytes, counts[i].over_limit) == (len(ids), len((t or "").encode()), len(ids) > 10)
     assert d.select(bpe.bpe_decode(bpe.bpe_encode(F.col("text")))).count() == len(texts)
-    assert bpe.with_bpe(d.limit(0)).count() == 0
+    assert bpe.with_bpe(d.limit(0)).count() == 0 and bpe.with_token_counts(d.limit(0)).count() == 0
 
 
 # 6
