@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,9 +21,29 @@ def interval_union(intervals: DataFrame, by: list[str]) -> DataFrame:
 
 
 def overlaps(intervals: DataFrame, by: list[str]) -> DataFrame:
-    """Intervals that an insertion in order would reject: they begin inside an earlier one of their group."""
-    w = Window.partitionBy(*by).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
-    return intervals.withColumn("_top", F.max("end").over(w)).where("start <= _top").drop("_top")
+    """Intervals that an insertion in the order of (start, end) rejects: they begin inside an accepted one of their group.
+
+    What is accepted depends on all before it, so each group is one pass in order; only its last accepted end is held.
+    """
+    at = [intervals.columns.index(c) for c in by]
+    start, end = intervals.columns.index("start"), intervals.columns.index("end")
+
+    def rejected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, top = None, None
+        for batch in batches:
+            keys = list(zip(*(batch.column(k).to_pylist() for k in at))) if at else [()] * len(batch)
+            out = []
+            for key, a, b in zip(keys, batch.column(start).to_pylist(), batch.column(end).to_pylist()):
+                if key != group:
+                    group, top = key, None
+                out.append(top is not None and a <= top)
+                if not out[-1]:
+                    top = b
+            yield batch.filter(pa.array(out, pa.bool_()))
+
+    dealt = intervals.where("start is not null and end is not null")
+    dealt = (dealt.repartition(*by) if by else dealt.coalesce(1)).sortWithinPartitions(*by, "start", "end")
+    return dealt.mapInArrow(rejected, intervals.schema)
 
 
 def floor_lookup(probes: DataFrame, key: str, runs: DataFrame) -> DataFrame:

@@ -72,6 +72,20 @@ class Inputs:
         nodes, steps = tags.chopped_paths(self.seqs, WIDTH)
         return written(nodes), written(steps)
 
+    @cached_property
+    def mixed(self) -> tuple[DataFrame, DataFrame]:
+        """Paths over nodes of up to 5 and 9 symbols in turn; every third step is walked backward."""
+        start = F.expr("(step div 2) * 14 + (step % 2) * 5")
+        cut = self.seqs.where("t <> ''").select("seq", "t", F.explode(F.expr("sequence(0L, length(t) div 7)")).alias("step")).withColumn("node_start", start).where("node_start < length(t)")
+        nodes, steps = tags.paths_of(cut.select("seq", "step", F.expr("step % 3 = 2").alias("is_rev"), "node_start", F.expr("substring(t, node_start + 1, if(step % 2 = 0, 5, 9))").alias("piece")))
+        return written(nodes), written(steps)
+
+    @cached_property
+    def words(self) -> DataFrame:
+        """Patterns of 4 to 33 symbols, those that run over a sequence's end changed in their last symbol."""
+        w = F.expr("substring(concat(t, 'CA', t), 1 + seq % 5, 4 + seq % 30)")
+        return self.seqs.select(w.alias("pattern"))
+
     @cached_property
     def tags(self) -> DataFrame:
         return written(tags.tag_array(self.sa, self.paths[1]))
@@ -88,6 +102,11 @@ class Inputs:
 _inputs: dict[tuple[str, str], Inputs] = {}
 
 
+def forget() -> None:
+    """Let later queries build their inputs anew."""
+    _inputs.clear()
+
+
 def inputs(spark: SparkSession, sf_dir: str) -> Inputs:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _inputs:
@@ -124,6 +143,10 @@ PARTS = {
     "steps": f"steps AS (SELECT seq, step, node_id, false AS is_rev, step * {WIDTH} AS node_start FROM cut JOIN nodes USING (label))",
     "tags": f"tags AS (SELECT row_id, CASE WHEN f = '$' THEN 0 ELSE node_id * 2048 + pos - node_start END AS tag FROM sa LEFT JOIN steps ON steps.seq = sa.seq AND steps.step = sa.pos // {WIDTH} AND f <> '$')",
     "tagruns": "tagruns AS (SELECT CAST(g - 1 AS BIGINT) AS run_id, min(tag) AS tag, min(row_id) AS start, count(*) AS len FROM (SELECT *, sum(h) OVER (ORDER BY row_id) AS g FROM (SELECT *, CASE WHEN tag IS DISTINCT FROM lag(tag) OVER (ORDER BY row_id) THEN 1 ELSE 0 END AS h FROM tags)) GROUP BY g)",
+    "mcut": f"mcut AS (SELECT *, CASE WHEN is_rev THEN {_RC.format('piece')} ELSE piece END AS label FROM (SELECT seq, step, step % 3 = 2 AS is_rev, node_start, substring(t, node_start + 1, CASE WHEN step % 2 = 0 THEN 5 ELSE 9 END) AS piece FROM (SELECT *, (step // 2) * 14 + (step % 2) * 5 AS node_start FROM seqs, LATERAL (SELECT CAST(unnest(range(0, length(t) // 7 + 1)) AS BIGINT) AS step)) WHERE node_start < length(t)))",
+    "mnodes": "mnodes AS (SELECT row_number() OVER (ORDER BY label) AS node_id, label FROM (SELECT DISTINCT label FROM mcut))",
+    "mtags": "mtags AS (SELECT row_id, CASE WHEN f = '$' THEN 0 ELSE (node_id << 11) | (CASE WHEN is_rev THEN 1024 ELSE 0 END) | (pos - node_start) END AS tag, CASE WHEN f = '$' THEN 0 ELSE (node_id << 11) | (CASE WHEN is_rev THEN 0 ELSE 1024 END) | (length(mcut.label) - 1 - (pos - node_start)) END AS back FROM sa LEFT JOIN (mcut JOIN mnodes USING (label)) ON mcut.seq = sa.seq AND sa.pos >= node_start AND sa.pos < node_start + length(mcut.label))",
+    "words": "words AS (SELECT DISTINCT substring(concat(t, 'CA', t), 1 + seq % 5, 4 + seq % 30) AS pattern FROM seqs)",
     "uk": f"uk AS (SELECT kmer, min(tag) AS tag FROM (SELECT substring(s, 1, {K}) AS kmer, tag FROM sa JOIN tags USING (row_id) WHERE length(s) >= {K}) GROUP BY kmer HAVING count(DISTINCT tag) = 1)",
     "covered": f"covered AS (SELECT row_id, seq, pos, tags.tag FROM sa JOIN tags USING (row_id) JOIN uk ON uk.kmer = substring(s, 1, {K}))",
     "edges": "edges AS (SELECT DISTINCT a.node_id AS u, b.node_id AS v FROM steps a JOIN steps b ON a.seq = b.seq AND b.step = a.step + 1)",
@@ -438,9 +461,36 @@ def merge_tags(x):
     return tags.merge(x.sa, x.described.select("seq", "part"), part_tags)
 
 
+@_query(_sql("seqs sa mcut mnodes mtags", "SELECT row_id, tag FROM mtags"))
+def tag_array_mixed(x):
+    return tags.tag_array(x.sa, x.mixed[1])
+
+
+@_query(_sql("seqs words sa", "SELECT pattern, min(row_id) AS lo, max(row_id) AS hi FROM words JOIN sa ON starts_with(s, pattern) GROUP BY 1"))
+def count_words(x):
+    return search.count(x.words, x.seqs, x.sa)
+
+
+@_query(_sql("seqs words", "SELECT pattern, seq FROM words JOIN seqs ON contains(t, pattern)"))
+def locate_words(x):
+    return search.locate(x.words, x.seqs)
+
+
 # Graph
 
 
+@_query(_sql("seqs sa mcut mnodes mtags", "SELECT kmer, min(tag) AS tag FROM k GROUP BY 1 HAVING count(DISTINCT tag) = 1", f"""k AS (SELECT substring(s, 1, {K}) AS kmer, tag FROM sa JOIN mtags USING (row_id) WHERE length(s) >= {K} UNION ALL
+  SELECT {_RC.format(f'substring(a.s, 1, {K})')}, back FROM sa a JOIN sa b ON a.seq = b.seq AND b.pos = a.pos + {K - 1} JOIN mtags ON mtags.row_id = b.row_id WHERE length(a.s) >= {K})"""))
+def unique_kmers_mixed(x):
+    return graph.unique_kmers(x.seqs, x.mixed[1], K, True)
+
+
+@_query(_sql("seqs sa mcut mnodes mtags", "SELECT row_id, tag, tag AS path_tag FROM mtags WHERE false"))
+def disagreeing_tags(x):
+    reached = graph.extend(x.sa, graph.covered_rows(x.seqs, x.sa, x.mixed[1], K), x.mixed[1], x.mixed[0])
+    return tags.disagreeing(reached, tags.tag_array(x.sa, x.mixed[1]))
+
+
 @_query(_sql(_TAGS + " uk", "SELECT kmer, tag FROM uk"))
 def unique_kmers(x):
     return graph.unique_kmers(x.seqs, x.paths[1], K)

@@ -152,6 +152,16 @@ def test_interval_map(spark):
     d = spark.createDataFrame(spaced + rest, "g long, start long, end long")
     assert [tuple(r)[1:] for r in intervals.interval_union(d, ["g"]).collect()] == [(0, n - 10)]
     assert intervals.overlaps(d, ["g"]).count() == 0
+    rng = random.Random(5)
+    rows = sorted((g, a, a + rng.randrange(9)) for g in range(3) for a in [rng.randrange(60) for _ in range(25)]) + [(7, 0, 10), (7, 5, 20), (7, 15, 18)]
+    want, top = [], {}
+    for g, a, b in rows:
+        if a <= top.get(g, -1):
+            want.append((g, a, b))
+        else:
+            top[g] = b
+    got = intervals.overlaps(spark.createDataFrame(rows, "g long, start long, end long"), ["g"]).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
 
 
 def test_components_and_predecessors(spark):

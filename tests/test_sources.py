@@ -16,6 +16,15 @@ def test_gfa_round_trip(spark, tmp_path):
     assert readers.path_sequences(nodes, steps).first().t == "ACGAACGT"
 
 
+def test_gfa_with_names_and_walks(spark, tmp_path):
+    (tmp_path / "g.gfa").write_text("S\ts2\tACG\nS\ts10\tTT\nL\ts2\t+\ts10\t-\t0M\nW\tx\t1\tchr\t0\t8\t>s2<s10<s2\nP\ta\ts10-,s2+\t*\n")
+    nodes, edges, steps = readers.read_gfa(spark, str(tmp_path / "g.gfa"))
+    assert sorted((r.node_id, r.name) for r in nodes.collect()) == [(1, "s10"), (2, "s2")]
+    assert tuple(edges.first()) == (2, False, 1, True)
+    assert [tuple(r) for r in steps.orderBy("seq", "step").collect()] == [(0, 0, 1, True, 0, 2), (0, 1, 2, False, 2, 3), (1, 0, 2, False, 0, 3), (1, 1, 1, True, 3, 2), (1, 2, 2, True, 5, 3)]
+    assert [r.t for r in readers.path_sequences(nodes, steps).orderBy("seq").collect()] == ["AAACG", "ACGAACGT"]
+
+
 def test_index_folder(spark, tmp_path):
     seqs = spark.createDataFrame([(0, "GATTAC"), (1, "AGATAC")], "seq long, t string")
     sa = bwt.suffix_array(seqs)
