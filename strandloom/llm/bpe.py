@@ -1,7 +1,8 @@
 """Token counts, BPE encoding and decoding for a tokenizers file with word-end BPE.
 
-White space of ASCII ends every pre-token of such a file, so texts are cut there first and each distinct cut
-(a chunk) is worked on once for many documents; inside a chunk the file's own normaliser and pre-tokenizer decide.
+White space of ASCII ends every pre-token of such a file, so texts are cut there first, and inside a cut (a chunk) the
+file's own normaliser and pre-tokenizer decide. Counting works on each distinct pre-token of all documents once; encoding
+on each distinct chunk of many documents.
 """
 
 from __future__ import annotations
@@ -9,18 +10,19 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from operator import mul
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.llm.common import table
+from strandloom.plans.tables import written as save
 
 #: Distinct chunks a worker remembers between batches; past it the memory is cleared, and chunks are counted anew.
 REMEMBER = 150_000
@@ -219,27 +221,172 @@ def _groups(texts: Iterator[bytes], at_most: int = 2_000_000) -> Iterator[list[l
         yield held
 
 
-def token_counts(text: Column, path: str | None = None) -> Column:
-    """How many ids the tokenizers library gives for each whole text (null: 0).
+#: Documents whose pre-token frequencies are laid down together: about this many bytes of text, and fewer documents than 16 bits count.
+BLOCK_BYTES, BLOCK_DOCS = 16_000_000, 65_000
+#: Entries (a pre-token in a document) in a row of frequencies, and results a task holds before it hands them out.
+ENTRIES = 500_000
 
-    Per batch: the frequencies of each document's chunks, the pieces of each distinct chunk once, the join of
-    both, and the sum; no ids are kept. One table of the distinct pre-tokens of all documents, joined to frequencies laid down
-    per block of documents, gives the same counts but takes over twice the input in disk: most pre-tokens are rare.
-    """
-    path = path or tokenizer_path()
+_IDS = pa.list_(pa.int64())
+_LAID = pa.schema([("block", pa.int64()), ("k", pa.int32()), ("piece", pa.binary()), ("odd", pa.bool_()), ("data", pa.binary()), ("ids", _IDS), ("sizes", _IDS)])
+_LAID_SQL = "block long, k int, piece binary, odd boolean, data binary, ids array<long>, sizes array<long>"
+_COUNTED = pa.schema([("block", pa.int64()), ("ks", pa.binary()), ("ns", pa.binary())])
+_SUMS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
 
-    @F.arrow_udf("long")
-    def count(cols: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        lib = _library(path)
-        many = getattr(lib, "encode_batch_fast", lib.encode_batch)
-        known = _memory("counts", path, lambda new: [len(e) for e in many([c.decode("utf-8", "replace") for c in new], add_special_tokens=False)])
-        for col in cols:
-            for docs in _groups(_texts(col)):
-                freqs = [Counter(words) for words in docs]
-                known.learn(set().union(*freqs))
-                yield pa.array([sum(map(mul, f.values(), map(known.__getitem__, f))) for f in freqs], pa.int64())
 
-    return count(text)
+def _pack(*parts: np.ndarray) -> bytes:
+    raw = b"".join(p.tobytes() for p in parts)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpack(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+
+
+class Block:
+    """The pre-token frequencies of some documents."""
+
+    def __init__(self):
+        self.ids: list[int | None] = []
+        self.sizes: list[int] = []
+        self.known: dict[bytes, int] = {}
+        self.flat: list[np.ndarray] = []
+        self.bytes = 0
+
+    def add(self, id_: int | None, text: bytes) -> None:
+        known = self.known
+        words = np.fromiter((known.setdefault(w, len(known)) for w in text.split()), np.int64)
+        self.flat.append(words << 16 | len(self.ids))
+        self.ids.append(id_)
+        self.sizes.append(len(text))
+        self.bytes += len(text)
+
+    def rows(self, block: int, m: Merger) -> Iterator[pa.RecordBatch]:
+        """A row for each distinct pre-token (k: its number in the block), rows of frequencies, and one of the documents.
+
+        A chunk with special strings in it is kept whole, as a piece marked odd.
+        """
+        chunks = list(self.known)
+        key, times = np.unique(np.concatenate(self.flat), return_counts=True)
+        chunk, at = key >> 16, key & 0xFFFF
+        odd = np.fromiter((any(x in c for x in m.marks) for c in chunks), bool, len(chunks))
+        words, has = m.pretokens([b"" if o else c for o, c in zip(odd.tolist(), chunks)])
+        number: dict[str, int] = {}
+        piece = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
+        has = np.array(has, np.int64)
+        start, reps = np.cumsum(has) - has, has[chunk]
+        place = np.repeat(start[chunk] - (np.cumsum(reps) - reps), reps) + np.arange(reps.sum())
+        alone = odd[chunk]
+        whole = len(number) + np.cumsum(odd) - 1  # the numbers of odd chunks follow
+        key = np.concatenate([piece[place] << 16 | np.repeat(at, reps), whole[chunk[alone]] << 16 | at[alone]])
+        times = np.concatenate([np.repeat(times, reps), times[alone]])
+        key, same = np.unique(key, return_inverse=True)
+        times = np.bincount(same, times, len(key)).astype("<u4")
+        pieces = [w.encode("utf-8", "surrogateescape") for w in number] + [c for c, o in zip(chunks, odd.tolist()) if o]
+        for a in range(0, len(pieces), 20_000):
+            some = pieces[a : a + 20_000]
+            n, k = len(some), np.arange(a, a + len(some), dtype=np.int32)
+            none = [pa.nulls(n, pa.binary()), pa.nulls(n, _IDS), pa.nulls(n, _IDS)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(k), pa.array(some, pa.binary()), pa.array(k >= len(number)), *none], schema=_LAID)
+        ends = np.searchsorted(key, np.arange(len(pieces) + 1) << 16)
+        a = 0
+        while a < len(pieces):  # a piece has fewer entries than a row takes
+            b = int(np.searchsorted(ends, ends[a] + ENTRIES, side="right")) - 1
+            x, y = ends[a], ends[b]
+            yield self._row(block, a, _pack(np.array([b - a], "<u4"), np.diff(ends[a : b + 1]).astype("<u4"), times[x:y], (key[x:y] & 0xFFFF).astype("<u2")))
+            a = b
+        yield self._row(block, 0, None, self.ids, self.sizes)
+
+    @staticmethod
+    def _row(block: int, k: int, data: bytes | None, ids: list | None = None, sizes: list | None = None) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist([{"block": block, "k": k, "data": data, "ids": ids, "sizes": sizes}], schema=_LAID)
+
+
+def _laid(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks of a task's documents (id, text), numbered by task and place: the rows are written, so each block has one number."""
+        m, made, held = _merger(path), TaskContext.get().partitionId() << 32, Block()
+        for batch in batches:
+            for id_, text in zip(batch.column(0).to_pylist(), _texts(batch.column(1))):
+                held.add(id_, text)
+                if held.bytes > BLOCK_BYTES or len(held.ids) >= BLOCK_DOCS:
+                    yield from held.rows(made, m)
+                    made, held = made + 1, Block()
+        if held.ids:
+            yield from held.rows(made, m)
+
+    return run
+
+
+def _counted(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(block, ks, ns): the token counts ns of the block's pieces ks. Rows (piece, odd, block, k) come sorted, so each distinct piece is counted once."""
+        m, last, held, size = _merger(path), (None, 0), [], 0
+
+        def count(words: list[bytes], odd: bool) -> list[int]:
+            if odd:
+                return [len(e) for e in m.lib.encode_batch([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
+            return m.merge([w.decode("utf-8", "surrogateescape") for w in words])[1].tolist()
+
+        def ready() -> pa.RecordBatch:
+            block, k, n = (np.concatenate(x) for x in zip(*held))
+            order = np.argsort(block, kind="stable")
+            block, k, n = block[order], k[order], n[order]
+            edges = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+            cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(edges, edges[1:])], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(block[edges[:-1]]), cut(k.astype("<u4")), cut(n.astype("<u4"))], schema=_COUNTED)
+
+        for batch in batches:
+            for odd in (False, True):
+                part = batch.filter(batch.column(1) if odd else pc.invert(batch.column(1)))
+                if not part.num_rows:
+                    continue
+                coded = part.column(0).dictionary_encode()
+                words = coded.dictionary.to_pylist()
+                carried = [last[1]] if last[0] == (odd, words[0]) else []
+                counts = carried + (count(words[len(carried) :], odd) if len(words) > len(carried) else [])
+                last = (odd, words[-1]), counts[-1]
+                held.append((part.column(2).to_numpy(), part.column(3).to_numpy(), np.array(counts, np.int64)[coded.indices.to_numpy()]))
+                size += part.num_rows
+            if size > ENTRIES:
+                yield ready()
+                held, size = [], 0
+        if held:
+            yield ready()
+
+    return run
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, n_bytes, n_tokens) of blocks, whose rows come together, counts before frequencies: the sum of counts times frequencies."""
+    now, ids, sizes, n, total = None, [], [], np.zeros(0, np.int64), np.zeros(BLOCK_DOCS, np.int64)
+
+    def ready() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(total[: len(ids)])], schema=_SUMS)
+
+    for batch in batches:
+        for row in range(batch.num_rows):
+            block, k, data, its_ids, its_sizes, ks, ns = (c[row] for c in batch.columns)
+            if block.as_py() != now:
+                if now is not None:
+                    yield ready()
+                now, ids, sizes, n, total = block.as_py(), [], [], np.zeros(0, np.int64), np.zeros(BLOCK_DOCS, np.int64)
+            if ks.is_valid:
+                at = np.frombuffer(ks.as_py(), "<u4")
+                if at.max() >= len(n):
+                    n = np.concatenate([n, np.zeros(int(at.max()) + 1 + len(n) // 2, np.int64)])
+                n[at] = np.frombuffer(ns.as_py(), "<u4")
+            elif data.is_valid:
+                raw, a = _unpack(data.as_py()), k.as_py()
+                p = int.from_bytes(raw[:4], "little")
+                df = np.frombuffer(raw, "<u4", p, 4)
+                entries = int(df.sum())
+                times = np.frombuffer(raw, "<u4", entries, 4 + 4 * p)
+                at = np.frombuffer(raw, "<u2", entries, 4 + 4 * p + 4 * entries)
+                total += np.bincount(at, np.repeat(n[a : a + p], df) * times, len(total)).astype(np.int64)
+            else:
+                ids, sizes = its_ids.as_py(), its_sizes.as_py()
+    if now is not None:
+        yield ready()
 
 
 def _encode(texts: Iterator[bytes], path: str) -> Iterator[list[bytes]]:
@@ -299,10 +446,22 @@ def bpe_round_trip(text: Column, path: str | None = None) -> Column:
 
 
 def with_token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, limit: int = 2048) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit for each row; null and empty texts count 0. Repeated rows each have a result, a null id stays null; other columns are not read."""
+    """doc_id, n_bytes, n_tokens, over_limit for each row: how many ids the tokenizers library gives for each whole text.
+
+    Pre-token frequencies are laid down per block of documents. The distinct pre-tokens of all blocks are dealt by
+    pre-token, which puts equal ones beside each other, and each is counted once; a pre-token has one row a block, so none is hot. The counts
+    go back to their blocks and are summed with the frequencies; no document's ids are made. Null and empty texts count 0.
+    Repeated rows each have a result, a null id stays null, an empty table gives no rows; other columns are not read.
+    """
+    path = path or tokenizer_path()
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    d = d.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), token_counts(F.col("text"), path).alias("n_tokens"))
-    return d.withColumn("over_limit", F.col("n_tokens") > limit)
+    laid = save(d.mapInArrow(_laid(path), _LAID_SQL))
+    pieces = laid.where("piece is not null").select("piece", "odd", "block", "k").repartition("piece", "odd").sortWithinPartitions("odd", "piece")
+    counts = pieces.mapInArrow(_counted(path), "block long, ks binary, ns binary")
+    freqs = laid.where("piece is null").select("block", "k", "data", "ids", "sizes")
+    both = freqs.unionByName(counts, allowMissingColumns=True).repartition("block").sortWithinPartitions("block", F.col("ks").isNull())
+    out = both.mapInArrow(_sums, "doc_id long, n_bytes long, n_tokens long")
+    return out.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
 def with_bpe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
