@@ -227,9 +227,10 @@ BLOCK_BYTES, BLOCK_DOCS = 16_000_000, 65_000
 ENTRIES = 500_000
 
 _IDS = pa.list_(pa.int64())
-_LAID = pa.schema([("block", pa.int64()), ("k", pa.int32()), ("piece", pa.binary()), ("odd", pa.bool_()), ("data", pa.binary()), ("ids", _IDS), ("sizes", _IDS)])
-_LAID_SQL = "block long, k int, piece binary, odd boolean, data binary, ids array<long>, sizes array<long>"
-_COUNTED = pa.schema([("block", pa.int64()), ("ks", pa.binary()), ("ns", pa.binary())])
+_LAID = pa.schema([("block", pa.int64()), ("k", pa.int32()), ("pieces", pa.binary()), ("odd", pa.bool_()), ("data", pa.binary()), ("ids", _IDS), ("sizes", _IDS)])
+_LAID_SQL = "block long, k int, pieces binary, odd boolean, data binary, ids array<long>, sizes array<long>"
+_PIECES = pa.schema([("piece", pa.binary()), ("odd", pa.bool_()), ("block", pa.int64()), ("k", pa.int32())])
+_COUNTED = pa.schema([("block", pa.int64()), ("counts", pa.binary())])
 _SUMS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
 
 
@@ -260,11 +261,8 @@ class Block:
         self.sizes.append(len(text))
         self.bytes += len(text)
 
-    def rows(self, block: int, m: Merger) -> Iterator[pa.RecordBatch]:
-        """A row for each distinct pre-token (k: its number in the block), rows of frequencies, and one of the documents.
-
-        A chunk with special strings in it is kept whole, as a piece marked odd.
-        """
+    def entries(self, m: Merger) -> tuple[list[bytes], list[bytes], np.ndarray, np.ndarray]:
+        """The distinct pre-tokens, the chunks with special strings in them (kept whole, numbered after), and the entries: number << 16 | document, and how often."""
         chunks = list(self.known)
         key, times = np.unique(np.concatenate(self.flat), return_counts=True)
         chunk, at = key >> 16, key & 0xFFFF
@@ -276,29 +274,33 @@ class Block:
         start, reps = np.cumsum(has) - has, has[chunk]
         place = np.repeat(start[chunk] - (np.cumsum(reps) - reps), reps) + np.arange(reps.sum())
         alone = odd[chunk]
-        whole = len(number) + np.cumsum(odd) - 1  # the numbers of odd chunks follow
+        whole = len(number) + np.cumsum(odd) - 1
         key = np.concatenate([piece[place] << 16 | np.repeat(at, reps), whole[chunk[alone]] << 16 | at[alone]])
         times = np.concatenate([np.repeat(times, reps), times[alone]])
         key, same = np.unique(key, return_inverse=True)
-        times = np.bincount(same, times, len(key)).astype("<u4")
-        pieces = [w.encode("utf-8", "surrogateescape") for w in number] + [c for c, o in zip(chunks, odd.tolist()) if o]
-        for a in range(0, len(pieces), 20_000):
-            some = pieces[a : a + 20_000]
-            n, k = len(some), np.arange(a, a + len(some), dtype=np.int32)
-            none = [pa.nulls(n, pa.binary()), pa.nulls(n, _IDS), pa.nulls(n, _IDS)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(k), pa.array(some, pa.binary()), pa.array(k >= len(number)), *none], schema=_LAID)
-        ends = np.searchsorted(key, np.arange(len(pieces) + 1) << 16)
+        return [w.encode("utf-8", "surrogateescape") for w in number], [chunks[c] for c in np.flatnonzero(odd)], key, np.bincount(same, times, len(key)).astype("<u4")
+
+    def rows(self, block: int, m: Merger) -> Iterator[pa.RecordBatch]:
+        """Rows of distinct pre-tokens (k: the number of a row's first), rows of frequencies, and one of the documents."""
+        plain, odd, key, times = self.entries(m)
+        for pieces, first in ((plain, 0), (odd, len(plain))):
+            for a in range(0, len(pieces), 50_000):
+                some = pieces[a : a + 50_000]
+                sizes = np.fromiter(map(len, some), "<u4", len(some))
+                yield self._row(block, first + a, pieces=_pack(np.array([len(some)], "<u4"), sizes, np.frombuffer(b"".join(some), np.uint8)), odd=pieces is odd)
+        count = len(plain) + len(odd)
+        ends = np.searchsorted(key, np.arange(count + 1) << 16)
         a = 0
-        while a < len(pieces):  # a piece has fewer entries than a row takes
+        while a < count:  # a piece has fewer entries than a row takes
             b = int(np.searchsorted(ends, ends[a] + ENTRIES, side="right")) - 1
             x, y = ends[a], ends[b]
-            yield self._row(block, a, _pack(np.array([b - a], "<u4"), np.diff(ends[a : b + 1]).astype("<u4"), times[x:y], (key[x:y] & 0xFFFF).astype("<u2")))
+            yield self._row(block, a, data=_pack(np.array([b - a], "<u4"), np.diff(ends[a : b + 1]).astype("<u4"), times[x:y], (key[x:y] & 0xFFFF).astype("<u2")))
             a = b
-        yield self._row(block, 0, None, self.ids, self.sizes)
+        yield self._row(block, 0, ids=self.ids, sizes=self.sizes)
 
     @staticmethod
-    def _row(block: int, k: int, data: bytes | None, ids: list | None = None, sizes: list | None = None) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pylist([{"block": block, "k": k, "data": data, "ids": ids, "sizes": sizes}], schema=_LAID)
+    def _row(block: int, k: int, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist([{"block": block, "k": k, **columns}], schema=_LAID)
 
 
 def _laid(path: str):
@@ -317,9 +319,23 @@ def _laid(path: str):
     return run
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(piece, odd, block, k): a row for each pre-token of rows of them (block, k, pieces, odd)."""
+    for batch in batches:
+        for block, k, packed, odd in zip(*(c.to_pylist() for c in batch.columns)):
+            raw = _unpack(packed)
+            n = int.from_bytes(raw[:4], "little")
+            ends = np.concatenate([[0], np.cumsum(np.frombuffer(raw, "<u4", n, 4))])
+            for a in range(0, n, 10_000):
+                b = min(n, a + 10_000)
+                offsets = (ends[a : b + 1] - ends[a]).astype(np.int32)
+                piece = pa.BinaryArray.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw[4 + 4 * n + int(ends[a]) : 4 + 4 * n + int(ends[b])])])
+                yield pa.RecordBatch.from_arrays([piece, pa.array(np.full(b - a, odd)), pa.array(np.full(b - a, block)), pa.array(np.arange(k + a, k + b, dtype=np.int32))], schema=_PIECES)
+
+
 def _counted(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(block, ks, ns): the token counts ns of the block's pieces ks. Rows (piece, odd, block, k) come sorted, so each distinct piece is counted once."""
+        """(block, counts): numbers of the block's pieces, each as its distance from the one before, and their token counts. Rows (piece, odd, block, k) come sorted, so each distinct piece is counted once."""
         m, last, held, size = _merger(path), (None, 0), [], 0
 
         def count(words: list[bytes], odd: bool) -> list[int]:
@@ -329,11 +345,11 @@ def _counted(path: str):
 
         def ready() -> pa.RecordBatch:
             block, k, n = (np.concatenate(x) for x in zip(*held))
-            order = np.argsort(block, kind="stable")
-            block, k, n = block[order], k[order], n[order]
+            order = np.lexsort((k, block))
+            block, k, n = block[order], k[order], n[order].astype("<u4")
             edges = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
-            cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(edges, edges[1:])], pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(block[edges[:-1]]), cut(k.astype("<u4")), cut(n.astype("<u4"))], schema=_COUNTED)
+            packed = [_pack(np.diff(k[a:b], prepend=0).astype("<u4"), n[a:b]) for a, b in zip(edges, edges[1:])]
+            return pa.RecordBatch.from_arrays([pa.array(block[edges[:-1]]), pa.array(packed, pa.binary())], schema=_COUNTED)
 
         for batch in batches:
             for odd in (False, True):
@@ -365,16 +381,17 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for row in range(batch.num_rows):
-            block, k, data, its_ids, its_sizes, ks, ns = (c[row] for c in batch.columns)
+            block, k, data, its_ids, its_sizes, counts = (c[row] for c in batch.columns)
             if block.as_py() != now:
                 if now is not None:
                     yield ready()
                 now, ids, sizes, n, total = block.as_py(), [], [], np.zeros(0, np.int64), np.zeros(BLOCK_DOCS, np.int64)
-            if ks.is_valid:
-                at = np.frombuffer(ks.as_py(), "<u4")
-                if at.max() >= len(n):
-                    n = np.concatenate([n, np.zeros(int(at.max()) + 1 + len(n) // 2, np.int64)])
-                n[at] = np.frombuffer(ns.as_py(), "<u4")
+            if counts.is_valid:
+                steps, its_counts = np.frombuffer(_unpack(counts.as_py()), "<u4").reshape(2, -1)
+                at = np.cumsum(steps, dtype=np.int64)
+                if at[-1] >= len(n):
+                    n = np.concatenate([n, np.zeros(int(at[-1]) + 1 + len(n) // 2, np.int64)])
+                n[at] = its_counts
             elif data.is_valid:
                 raw, a = _unpack(data.as_py()), k.as_py()
                 p = int.from_bytes(raw[:4], "little")
@@ -456,10 +473,11 @@ def with_token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     path = path or tokenizer_path()
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     laid = save(d.mapInArrow(_laid(path), _LAID_SQL))
-    pieces = laid.where("piece is not null").select("piece", "odd", "block", "k").repartition("piece", "odd").sortWithinPartitions("odd", "piece")
-    counts = pieces.mapInArrow(_counted(path), "block long, ks binary, ns binary")
-    freqs = laid.where("piece is null").select("block", "k", "data", "ids", "sizes")
-    both = freqs.unionByName(counts, allowMissingColumns=True).repartition("block").sortWithinPartitions("block", F.col("ks").isNull())
+    pieces = laid.where("pieces is not null").select("block", "k", "pieces", "odd").mapInArrow(_pieces, "piece binary, odd boolean, block long, k int")
+    dealt = pieces.repartition("piece", "odd").sortWithinPartitions("odd", "piece")
+    counts = dealt.mapInArrow(_counted(path), "block long, counts binary")
+    freqs = laid.where("pieces is null").select("block", "k", "data", "ids", "sizes")
+    both = freqs.unionByName(counts, allowMissingColumns=True).repartition("block").sortWithinPartitions("block", F.col("counts").isNull())
     out = both.mapInArrow(_sums, "doc_id long, n_bytes long, n_tokens long")
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
 
