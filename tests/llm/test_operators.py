@@ -229,6 +229,43 @@ def test_bpe_equals_the_library(spark):
     assert bpe.with_bpe(d.limit(0)).count() == 0 and bpe.with_token_counts(d.limit(0)).count() == 0
 
 
+def test_token_counts_over_many_blocks(spark, monkeypatch):
+    """Blocks of a few documents, rows of a few entries: pieces that blocks share, that run over batches, and odd ones."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(bpe, "ENTRIES", 40)
+    path = bpe.tokenizer_path()
+    lib, m = Tokenizer.from_file(path), bpe._merger(path)
+    rng = random.Random(4)
+    words = ["the", "don't", "x<|endoftext|>y", "<|endoftext|>", "日本語", "a,b;c", "thethethe", "Straße", "\u0301", *("w%d" % i for i in range(60))]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(30))) for _ in range(35)] + ["", " \n", "the " * 3000]
+    laid = []
+    for block in range(0, len(texts), 10):
+        held = bpe.Block()
+        for i, t in enumerate(texts[block : block + 10]):
+            held.add(None if block + i == 3 else block + i, t.encode())
+        laid += [r for b in held.rows(block, m) for r in b.to_pylist()]
+    packed = [{k: r[k] for k in ("block", "k", "pieces", "odd")} for r in laid if r["pieces"] is not None]
+    assert len([r for r in laid if r["data"] is not None]) > 4  # rows of entries are split
+    pieces = [r for b in bpe._pieces([pa.RecordBatch.from_pylist(packed)]) for r in b.to_pylist()]
+    pieces.sort(key=lambda r: (r["odd"], r["piece"]))
+    batches = [pa.RecordBatch.from_pylist(pieces[a : a + 3], schema=bpe._PIECES) for a in range(0, len(pieces), 3)]
+    counts = [r for b in bpe._counted(path)(batches) for r in b.to_pylist()]
+    rows = [{c: r.get(c) for c in ("block", "k", "data", "ids", "sizes", "counts")} for r in counts + [x for x in laid if x["pieces"] is None]]
+    rows.sort(key=lambda r: (r["block"], r["counts"] is None))
+    schema = pa.schema([bpe._LAID.field(c) for c in ("block", "k", "data", "ids", "sizes")] + [bpe._COUNTED.field("counts")])
+    got = [r for b in bpe._sums(pa.RecordBatch.from_pylist(rows[a : a + 7], schema=schema) for a in range(0, len(rows), 7)) for r in b.to_pylist()]
+    assert [r["doc_id"] for r in got] == [None if i == 3 else i for i in range(len(texts))]
+    assert [r["n_bytes"] for r in got] == [len(t.encode()) for t in texts]
+    assert [r["n_tokens"] for r in got] == [len(lib.encode(t, add_special_tokens=False).ids) for t in texts]
+
+    d = spark.createDataFrame([(1, "the cat"), (1, "the cat"), (None, "the cat"), (None, None), (2, "the")], "doc_id long, text string").selectExpr("*", "1 as block", "'x' as pieces", "2 as n_tokens", "3 as k")
+    got = sorted(map(tuple, bpe.with_token_counts(d).select(F.coalesce("doc_id", F.lit(-1)), "n_bytes", "n_tokens").collect()))
+    n = [len(lib.encode(t, add_special_tokens=False).ids) for t in ("the cat", "the")]
+    assert got == [(-1, 0, 0), (-1, 7, n[0]), (1, 7, n[0]), (1, 7, n[0]), (2, 3, n[1])]
+
+
 # 6
 
 
