@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -18,7 +19,7 @@ PHRASES = (
     ("cc by", "cc-by"),
     ("mit license", "mit"),
 )
-#: Openings of public licence notices, matched in part too.
+#: Openings and disclaimers of public licence notices, matched in part too.
 TEMPLATES = (
     ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "gpl"),
     ("you may not use this file except in compliance with the license you may obtain a copy of the license at", "apache"),
@@ -26,6 +27,13 @@ TEMPLATES = (
     ("this work is licensed under a creative commons attribution 4 0 international license", "cc-by"),
     ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "bsd"),
     ("this source code form is subject to the terms of the mozilla public license v 2 0", "mpl"),
+    ("this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", "lgpl"),
+    ("this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation", "agpl"),
+    ("the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement", "mit"),
+    ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", "isc"),
+    ("this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed", "bsd"),
+    ("this is free and unencumbered software released into the public domain", "unlicense"),
+    ("this program and the accompanying materials are made available under the terms of the eclipse public license", "epl"),
     ("licensed under cc by nc", "cc-by-nc"),
     ("all rights reserved", "all-rights-reserved"),
 )
@@ -149,7 +157,16 @@ class Scanner:
                     open_[k] = [end - size, end, at, size]
         for k in list(open_):
             close(k)
-        return sorted(out)
+        return self.strongest(out)
+
+    def strongest(self, spans: list[tuple[int, int, int, float]]) -> list[tuple[int, int, int, float]]:
+        """Of spans that overlap (notices of one family share most words) the one with the most covered words, then the larger share."""
+        kept: list[tuple[int, int, int, float]] = []
+        for span in sorted(spans, key=lambda s: (-round(s[3] * len(self.all[s[2]][0])), -s[3], s)):
+            i = bisect(kept, span)
+            if (i == 0 or kept[i - 1][1] <= span[0]) and (i == len(kept) or span[1] <= kept[i][0]):
+                kept.insert(i, span)
+        return kept
 
     def report(self, words: list[bytes]) -> dict:
         base, spans = self.scan(words)

@@ -295,6 +295,15 @@ def test_parts_of_a_template_are_chained(spark):
     assert r[1].labels == []
 
 
+def test_notices_of_one_family_are_told_apart(spark):
+    notice = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation"
+    texts = [notice.format(x) for x in ("", "Lesser ", "Affero ")] + ["a b " + notice.format("Affero ") + " c d e f g h i j k " + notice.format("")]
+    texts += ["THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."]
+    got = [r.labels for r in licenses.with_licenses(docs(spark, texts)).orderBy("doc_id").collect()]
+    assert got == [["gpl"], ["lgpl"], ["agpl"], ["agpl", "gpl"], ["mit"]]
+    assert licenses.with_licenses(docs(spark, texts).limit(0)).count() == 0
+
+
 # 7
 
 
