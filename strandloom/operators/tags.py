@@ -27,17 +27,21 @@ def paths_of(cut: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, steps
 
 
-def at_steps(rows: DataFrame, steps: DataFrame) -> DataFrame:
-    """rows (seq, pos and others) with the columns of the step that holds each position, whatever the lengths of nodes: an equi-join on bins of BIN symbols, where few steps meet."""
-    own = steps.withColumn("_bin", F.explode(F.expr(f"sequence(node_start div {BIN}, (node_start + size - 1) div {BIN})")))
-    d = rows.withColumn("_bin", F.expr(f"pos div {BIN}")).hint("merge").join(own, ["seq", "_bin"])
-    return d.where("pos >= node_start and pos < node_start + size").drop("_bin")
+def at_steps(rows: DataFrame, steps: DataFrame, how: str = "inner") -> DataFrame:
+    """rows (seq, pos and others) with the columns of the step that holds each position, whatever the lengths of nodes: an equi-join on bins of BIN symbols, where few steps meet.
+
+    Positions that no step holds are left out, or have nulls where how is "left".
+    """
+    own = steps.withColumn("_bin", F.explode(F.expr(f"sequence(node_start div {BIN}, (node_start + size - 1) div {BIN})"))).withColumnRenamed("seq", "_seq").withColumnRenamed("_bin", "_own")
+    d = rows.withColumn("_bin", F.expr(f"pos div {BIN}")).hint("merge")
+    return d.join(own, F.expr("seq = _seq and _bin = _own and pos >= node_start and pos < node_start + size"), how).drop("_bin", "_own", "_seq")
 
 
 def tag_array(sa: DataFrame, steps: DataFrame) -> DataFrame:
-    """(row_id, tag): the packed graph position of each row's first symbol; 0 at sequence ends."""
-    at = at_steps(sa.where("f <> '$'").select("row_id", "seq", "pos"), steps.select("seq", "node_id", "is_rev", "node_start", "size"))
-    tagged = at.select("row_id", encode_tag(F.col("node_id"), F.col("is_rev").cast("long"), F.col("pos") - F.col("node_start")).alias("tag"))
+    """(row_id, tag): the packed graph position of each row's first symbol; 0 at sequence ends, null where no step of the sequence's path holds the symbol."""
+    at = at_steps(sa.where("f <> '$'").select("row_id", "seq", "pos"), steps.select("seq", "node_id", "is_rev", "node_start", "size"), "left")
+    tag = encode_tag(F.col("node_id"), F.col("is_rev").cast("long"), F.col("pos") - F.col("node_start"))
+    tagged = at.select("row_id", F.when(F.col("node_id").isNotNull(), tag).alias("tag"))
     return tagged.unionByName(sa.where("f = '$'").select("row_id", F.lit(0).cast("long").alias("tag")))
 
 

@@ -91,9 +91,9 @@ def stretches(df: DataFrame, key: str, groups: dict[str, list[str]]) -> DataFram
 
 
 def islands(df: DataFrame, key: str, value: str, alone: Column) -> DataFrame:
-    """Runs of equal values along a dense key: run_id, value, start, len. Rows for which alone holds are runs of their own."""
+    """Runs of equal values (nulls are equal) along a dense 0-based key: run_id, value, start, len. Rows for which alone holds are runs of their own."""
     d = beside(df.select(key, value), key, {"_before": value})
-    d = d.withColumn("_new", (alone | F.col("_before").isNull() | (F.col("_before") != F.col(value))).cast("int"))
+    d = d.withColumn("_new", (alone | (F.col(key) == 0) | ~F.col("_before").eqNullSafe(F.col(value))).cast("int"))
     d = prefix_sums(d, key, {"_runs": F.col("_new")}).withColumn("run_id", F.col("_runs") + F.col("_new") - 1)
     return d.groupBy("run_id").agg(F.first(value).alias(value), F.min(key).alias("start"), F.count("*").alias("len"))
 

@@ -119,6 +119,17 @@ def test_tags_tile_rows_and_split(spark):
         assert [x.len for x in cut] == want and [x.start for x in cut] == [7 + 511 * k for k in range(len(want))]
 
 
+def test_rows_that_no_step_holds_keep_a_null_tag(spark):
+    f = frame(spark, ["ACGTAC"])
+    steps = spark.createDataFrame([(0, 0, 1, False, 0, 2), (0, 1, 2, False, 4, 1)], "seq long, step long, node_id long, is_rev boolean, node_start long, size long")
+    sa = bwt.suffix_array(f).cache()
+    at = tags.tag_array(sa, steps)
+    got = {r.pos: r.tag for r in at.join(sa, "row_id").collect()}
+    assert got == {0: 1 << 11, 1: 1 << 11 | 1, 2: None, 3: None, 4: 2 << 11, 5: None, 6: 0}
+    runs = tags.tag_runs(at).orderBy("start").collect()
+    assert sum(r.len for r in runs) == 7 and [r.start + r.len for r in runs[:-1]] == [r.start for r in runs[1:]]
+
+
 def test_tag_codec(spark):
     d = spark.range(1).select(tx.encode_tag(F.lit(5), F.lit(1), F.lit(7)).alias("tag"))
     assert d.first().tag == 11271
