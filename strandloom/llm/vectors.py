@@ -3,13 +3,17 @@
 Unit vectors are rotated and split into blocks of BLOCK dimensions. A cosine of at least t means a squared distance of at
 most 2 - 2t; were every block's squared distance over its share (in proportion to its dimensions), the sum would be over the whole.
 So every pair is found in some block as a pair within that block's radius, and is then confirmed on the whole vectors.
+
+Vectors are packed into chunks, and chunks whose boxes are near enough meet in a product of partitions: nothing is copied to
+disk for the comparison, whatever the number of vectors.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,12 +21,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.llm.common import table
-from strandloom.plans.tables import written as save
 from strandloom.plans.components import connected_components
+from strandloom.plans.order import partitions
+from strandloom.plans.tables import drop, written as save
 
-COSINE, BLOCK = 0.9, 16
-#: Vectors of a cell that are compared in one task with as many others; larger cells are dealt out in chunks of this size.
-CHUNK, TILE = 12_000, 256
+COSINE, BLOCK = 0.9, 32
+#: Vectors of a chunk, rows of a tile, and chunks that a task holds at most to compare others with.
+CHUNK, TILE, HELD = 2048, 256, 64
+#: Rotated coordinates whose signs order the vectors.
+SIGNS = 32
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 @lru_cache(maxsize=4)
@@ -66,38 +74,44 @@ def _nodes(kind: type):
     return run
 
 
-def _spread(cosine: float, kind: type):
-    """Each vector to its own cell (guest false) of every block, and as a guest to the later cells that its radius reaches.
-
-    Cells are squares of the block's first two coordinates, as wide as the radius.
-    """
+def _cells(kind: type):
+    """d, cell (the signs of a vector's first rotated coordinates, so that alike vectors mostly lie near each other), node, copies and raw."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raws = batch.column(2).to_pylist()
-            dims = np.array([len(r) // np.dtype(kind).itemsize for r in raws])
+            dims = np.array([len(r) // np.dtype(kind).itemsize for r in raws], np.int64)
+            cells = np.zeros(len(raws), np.int64)
             for d in np.unique(dims).tolist():
                 at = np.flatnonzero(dims == d)
-                u = units(np.frombuffer(b"".join(raws[k] for k in at.tolist()), kind).reshape(len(at), d).astype(np.float64))
-                which, cell0, cell1, part, guest = [], [], [], [], []
-                for b, (lo, hi, budget) in enumerate(blocks(d, cosine)):
-                    width = np.sqrt(budget) * (1 + 1e-6) + 1e-9
-                    xy = np.stack([u[:, lo], u[:, lo + 1] if hi - lo > 1 else np.zeros(len(at))], axis=1)
-                    own = np.floor(xy / width).astype(np.int64)
-                    for dx, dy in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1)):
-                        gap0 = (own[:, 0] + dx) * width - xy[:, 0] if dx else np.zeros(len(at))
-                        gap1 = {0: np.zeros(len(at)), 1: (own[:, 1] + 1) * width - xy[:, 1], -1: xy[:, 1] - own[:, 1] * width}[dy]
-                        go = np.flatnonzero(gap0**2 + gap1**2 <= width**2)
-                        which.append(at[go])
-                        cell0.append(own[go, 0] + dx)
-                        cell1.append(own[go, 1] + dy)
-                        part.append(np.full(len(go), b))
-                        guest.append(np.full(len(go), bool(dx or dy)))
-                which = np.concatenate(which)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(len(which), d)), pa.array(np.concatenate(part)), pa.array(np.concatenate(cell0)), pa.array(np.concatenate(cell1)),
-                    pa.array(np.concatenate(guest)), batch.column(0).take(pa.array(which)), batch.column(1).take(pa.array(which)), batch.column(2).take(pa.array(which)),
-                ], names=["d", "b", "c0", "c1", "guest", "node", "copies", "raw"])
+                signs = units(np.frombuffer(b"".join(raws[k] for k in at.tolist()), kind).reshape(len(at), d).astype(np.float64))[:, :SIGNS] > 0
+                cells[at] = signs @ (1 << np.arange(signs.shape[1])[::-1])
+            yield pa.RecordBatch.from_arrays([pa.array(dims), pa.array(cells), *batch.columns], names=["d", "cell", "node", "copies", "raw"])
+
+    return run
+
+
+def _pack(kind: type):
+    """Chunks of at most CHUNK vectors of one length that follow each other: their nodes, copies and values, and the box of their rotated coordinates."""
+    schema = pa.schema([("d", pa.int64()), ("nodes", pa.binary()), ("copies", pa.binary()), ("raws", pa.binary()), ("lo", pa.list_(pa.float64())), ("hi", pa.list_(pa.float64()))])
+
+    def chunk(d: int, rows: list[tuple]) -> pa.RecordBatch:
+        names, copies, raws = zip(*rows)
+        raw = b"".join(raws)
+        u = units(np.frombuffer(raw, kind).reshape(len(rows), d).astype(np.float64))
+        return pa.RecordBatch.from_pylist([{"d": d, "nodes": b"".join(names), "copies": np.array(copies, np.int64).tobytes(), "raws": raw, "lo": u.min(axis=0).tolist(), "hi": u.max(axis=0).tolist()}], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, length = [], None
+        for batch in batches:
+            for d, *row in zip(*(batch.column(c).to_pylist() for c in ("d", "node", "copies", "raw"))):
+                if held and (d != length or len(held) == CHUNK):
+                    yield chunk(length, held)
+                    held = []
+                held.append(row)
+                length = d
+        if held:
+            yield chunk(length, held)
 
     return run
 
@@ -123,88 +137,123 @@ class Forest:
             self.label = to[self.label]
 
 
+class Chunk:
+    """The vectors of a chunk; what only the confirmation of candidates takes is made when it is asked for."""
+
+    def __init__(self, d: int, copies: bytes, raws: bytes, kind: type):
+        self.copies = np.frombuffer(copies, np.int64)
+        self.raw = np.frombuffer(raws, kind).reshape(len(self.copies), d)
+
+    def __len__(self) -> int:
+        return len(self.copies)
+
+    @cached_property
+    def x(self) -> np.ndarray:
+        x = self.raw.astype(np.float64)
+        return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])  # exact, and squares stay finite
+
+    @cached_property
+    def norm(self) -> np.ndarray:
+        return np.sqrt((self.x * self.x).sum(axis=1))
+
+    @cached_property
+    def u(self) -> np.ndarray:
+        return units(self.x)
+
+    def sides(self, parts: tuple[tuple[int, int, float], ...], right: bool) -> list[np.ndarray]:
+        """For each block, the side of a product that gives minus half of all squared distances in it."""
+        out = []
+        for first, end, _ in parts:
+            own = self.u[:, first:end]
+            half, ones = ((own**2).sum(axis=1) / 2)[:, None], np.ones((len(own), 1))
+            out.append(np.hstack((own, ones, -half) if right else (own, -half, ones)).astype(np.float32))
+        return out
+
+
 def _compare(cosine: float, kind: type):
+    """The links of each node of a task's pairs of chunks, and a spanning forest of them."""
     schema = pa.schema([("u", pa.binary()), ("v", pa.binary()), ("w", pa.int64())])
 
-    def within(rows: list[tuple]) -> pa.RecordBatch:
-        d, b, _, _, lo, hi = rows[0][:6]
-        first, end, budget = blocks(d, cosine)[b]
-        x = np.frombuffer(b"".join(r[10] for r in rows), kind).reshape(len(rows), d).astype(np.float64)
-        x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])  # exact, and squares stay finite
-        u = units(x)
-        # in order of one more coordinate, only a stretch of it can be near a tile
-        z = u[:, min(first + 2, end - 1)]
-        order = np.argsort(z, kind="stable")
-        rows = [rows[k] for k in order.tolist()]
-        x, u, z = x[order], u[order], z[order]
-        own, guest = np.array([r[6] for r in rows]), np.array([r[7] for r in rows])
-        copies = np.array([r[9] for r in rows])
-        norm = np.sqrt((x * x).sum(axis=1))
-        parts = blocks(d, cosine)
-        half = ((u[:, first:end] ** 2).sum(axis=1) / 2)[:, None]
-        ones = np.ones_like(half)
-        s, t_ = (np.hstack(cols).astype(np.float32) for cols in ((u[:, first:end], -half, ones), (u[:, first:end], ones, -half)))
-        least, radius = -(budget * (1 + 1e-4) + 1e-5) / 2, np.sqrt(budget) * (1 + 1e-6) + 1e-9
-        links, forest = np.zeros(len(rows), np.int64), Forest(len(rows))
-
-        def compare(one: np.ndarray, two: np.ndarray, upper: bool) -> None:
-            reach = z[two]
-            right = t_[two]
+    def compare(one: Chunk, left: list[np.ndarray], two: Chunk, right: list[np.ndarray], same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(rows of one, rows of two) that are linked; each pair comes once, from the first block that finds it."""
+        parts = blocks(one.raw.shape[1], cosine)
+        for b, (_, _, budget) in enumerate(parts):
+            least = np.float32(-(budget * (1 + 1e-4) + 1e-5) / 2)
             for at in range(0, len(one), TILE):
-                p = one[at : at + TILE]
-                lo_, hi_ = np.searchsorted(reach, z[p[0]] - radius), np.searchsorted(reach, z[p[-1]] + radius, side="right")
-                if upper:
-                    lo_ = max(lo_, at)
-                if hi_ <= lo_:
-                    continue
-                near = np.flatnonzero(s[p] @ right[lo_:hi_].T >= least)
-                i, j = np.divmod(near, hi_ - lo_)
-                for a in range(0, len(i), 50_000):
-                    q, t = p[i[a : a + 50_000]], two[lo_ + j[a : a + 50_000]]
-                    if upper:
+                lo = at if same else 0
+                near = np.flatnonzero(left[b][at : at + TILE] @ right[b][lo:].T >= least)
+                for a in range(0, len(near), 50_000):
+                    q, t = np.divmod(near[a : a + 50_000], len(two) - lo)
+                    q, t = q + at, t + lo
+                    if same:
                         q, t = q[q < t], t[q < t]
-                    ok = (x[q] * x[t]).sum(axis=1) / (norm[q] * norm[t]) >= cosine
+                    ok = (one.x[q] * two.x[t]).sum(axis=1) / (one.norm[q] * two.norm[t]) >= cosine
                     q, t = q[ok], t[ok]
                     if len(q):
-                        gap = (u[q] - u[t]) ** 2
-                        within_ = np.stack([gap[:, f:e].sum(axis=1) <= most * (1 + 1e-9) + 1e-12 for f, e, most in parts], axis=1)
-                        ok = within_.argmax(axis=1) == b  # a pair that more blocks find counts in the first
-                        q, t = q[ok], t[ok]
-                        np.add.at(links, q, copies[t])
-                        np.add.at(links, t, copies[q])
-                        forest.join(q, t)
-
-        home, visit = (np.flatnonzero((own == lo) & (guest == g)) for g in (False, True))
-        if lo == hi:
-            compare(home, home, True)
-            compare(home, visit, False)
-        else:
-            other, others = (np.flatnonzero((own == hi) & (guest == g)) for g in (False, True))
-            compare(home, other, False)
-            compare(home, others, False)
-            compare(visit, other, False)
-        names = [r[8] for r in rows]
-        some, joined = np.flatnonzero(links).tolist(), np.flatnonzero(forest.label != np.arange(len(rows))).tolist()
-        return pa.RecordBatch.from_arrays([
-            pa.array([names[k] for k in some + joined], pa.binary()),
-            pa.array([None] * len(some) + [names[k] for k in forest.label[joined].tolist()], pa.binary()),
-            pa.array(links[some].tolist() + [0] * len(joined), pa.int64()),
-        ], schema=schema)
+                        gap = (one.u[q] - two.u[t]) ** 2
+                        within = np.stack([gap[:, f:e].sum(axis=1) <= most * (1 + 1e-9) + 1e-12 for f, e, most in parts], axis=1)
+                        ok = within.argmax(axis=1) == b  # a pair that more blocks find counts in the first
+                        if ok.any():
+                            yield q[ok], t[ok]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        at: dict[int, int] = {}
+        names, links, forest, rights = [], np.zeros(0, np.int64), Forest(0), {}
+        one, held, left = None, None, []
+
+        def place(chunk: int, nodes: bytes) -> int:
+            nonlocal links
+            if chunk not in at:
+                at[chunk] = len(links)
+                names.append(nodes)
+                links = np.concatenate([links, np.zeros(len(nodes) // 16, np.int64)])
+                forest.label = np.concatenate([forest.label, np.arange(len(forest.label), len(links))])
+            return at[chunk]
+
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and held[0][:6] != row[:6]:
-                    yield within(held)
-                    held = []
-                held.append(row)
-        if held:
-            yield within(held)
+            for k in range(len(batch)):
+                i, j, d, *cols = (c[k].as_py() for c in batch.columns)
+                first, second = place(i, cols[0]), place(j, cols[3])
+                if held != i:
+                    held, one = i, Chunk(d, cols[1], cols[2], kind)
+                    left = one.sides(blocks(d, cosine), False)
+                two = one if i == j else Chunk(d, cols[4], cols[5], kind)
+                if j not in rights:
+                    rights[j] = two.sides(blocks(d, cosine), True)
+                pair = Forest(len(one) + (0 if i == j else len(two)))
+                shift = 0 if i == j else len(one)
+                for q, t in compare(one, left, two, rights[j], i == j):
+                    np.add.at(links, first + q, two.copies[t])
+                    np.add.at(links, second + t, one.copies[q])
+                    pair.join(q, t + shift)
+                joined = np.flatnonzero(pair.label != np.arange(len(pair.label)))
+                if len(joined):
+                    whole = np.concatenate([first + np.arange(len(one)), second + np.arange(len(two))])
+                    forest.join(whole[pair.label[joined]], whole[joined])
+        nodes = b"".join(names)
+        name = lambda rows: pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(rows), [None, pa.py_buffer(np.frombuffer(nodes, "V16")[rows].tobytes())]).cast(pa.binary())
+        some, joined = np.flatnonzero(links), np.flatnonzero(forest.label != np.arange(len(links)))
+        if len(some):
+            yield pa.RecordBatch.from_arrays([name(some), pa.nulls(len(some), pa.binary()), pa.array(links[some])], schema=schema)
+        if len(joined):
+            yield pa.RecordBatch.from_arrays([name(joined), name(forest.label[joined]), pa.array(np.zeros(len(joined), np.int64))], schema=schema)
 
     return run
 
 
+def _pairs(chunks: DataFrame, cosine: float) -> DataFrame:
+    """Each two chunks (and each with itself) once, unless their boxes are too far apart: a product of partitions, for which no row is copied to disk."""
+    count = chunks.count()
+    parts = max(1, min(count, max(math.isqrt(partitions(chunks)), -(-count // HELD))))
+    dealt = chunks.repartition(parts)
+    one, two = (dealt.select(*(F.col(c).alias(f"{side}_{c}") for c in chunks.columns)) for side in "lr")
+    gap = "greatest(0D, l_lo[k] - r_hi[k], r_lo[k] - l_hi[k])"
+    apart = F.expr(f"aggregate(sequence(0, int(l_d) - 1), 0D, (s, k) -> s + {gap} * {gap})")
+    once = F.expr("l_id = r_id or (l_id < r_id) = (pmod(xxhash64(l_id) ^ xxhash64(r_id), 2) = 0)")
+    met = one.join(two.hint("shuffle_replicate_nl"), F.expr("l_d - r_d = 0") & once & (apart <= (2 - 2 * cosine) * (1 + 1e-6) + 1e-9))
+    return met.select("l_id", "r_id", "l_d", "l_nodes", "l_copies", "l_raws", "r_nodes", "r_copies", "r_raws")
+
+
 def near_vectors(vecs: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", cosine: float = COSINE) -> DataFrame:
     """One row per input row: vec_id, n_links, component_id, kept.
 
@@ -213,23 +262,29 @@ def near_vectors(vecs: DataFrame, id_col: str = "vec_id", vec_col: str = "embedd
     Vectors that are null, empty, zero or hold null or non-finite values link with nothing. A row with a null id links like
     others but is a component_id only where no other id is there (null, and kept is false); repeated rows stay.
     """
+    spark = vecs.sparkSession
     single = vecs.schema[vec_col].dataType.simpleString() == "array<float>"
     kind = np.float32 if single else np.float64
     rows = save(
         vecs.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<float>" if single else "array<double>").alias("v")).mapInArrow(_nodes(kind), "vec_id long, node binary, raw binary")
     )
-    nodes = save(rows.where("node is not null").groupBy("node").agg(F.count("*").alias("copies"), F.first("raw").alias("raw")))
-    key = ["d", "b", "c0", "c1"]
-    spread = nodes.select("node", "copies", "raw").mapInArrow(_spread(cosine, kind), "d long, b long, c0 long, c1 long, guest boolean, node binary, copies long, raw binary")
-    size = spread.groupBy(*key).agg(F.count("*").alias("size"))
-    many = F.ceil(F.col("size") / CHUNK).cast("int")
-    dealt = spread.join(size, key).withColumn("own", F.pmod(F.xxhash64("node"), many).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), many - 1)))
-    dealt = dealt.select(*key, F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "guest", "node", "copies", "raw")
-    by = [*key, "lo", "hi"]
-    found = save(dealt.repartition(*by).sortWithinPartitions(*by).mapInArrow(_compare(cosine, kind), "u binary, v binary, w long"))
+    nodes = rows.where("node is not null").groupBy("node").agg(F.count("*").alias("copies"), F.first("raw").alias("raw"))
+    nodes = save(nodes.select("node", "copies", "raw").mapInArrow(_cells(kind), "d long, cell long, node binary, copies long, raw binary"))
+    ranged = nodes.repartitionByRange(max(1, -(-nodes.count() // (8 * CHUNK))), "d", "cell", "node").sortWithinPartitions("d", "cell", "node")
+    chunks = ranged.select("d", "node", "copies", "raw").mapInArrow(_pack(kind), "d long, nodes binary, copies binary, raws binary, lo array<double>, hi array<double>")
+    chunks = save(chunks.withColumn("id", F.monotonically_increasing_id()))
+    drop(nodes)
+    before = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, "4")  # rows are pairs of chunks here
+    try:
+        found = save(_pairs(chunks, cosine).mapInArrow(_compare(cosine, kind), "u binary, v binary, w long"))
+    finally:
+        spark.conf.set(BATCH, before)
+    drop(chunks)
     roots = connected_components(found.where("v is not null").select("u", "v"))
     counts = found.where("v is null").groupBy(F.col("u").alias("node")).agg(F.sum("w").alias("w"))
-    placed = nodes.select("node", "copies").join(counts, "node", "left").join(roots, "node", "left")
+    copies = rows.where("node is not null").groupBy("node").agg(F.count("*").alias("copies"))
+    placed = copies.join(counts, "node", "left").join(roots, "node", "left")
     placed = rows.select("vec_id", "node").join(placed.select("node", (F.coalesce("w", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("root", "node").alias("root")), "node", "left")
     least = placed.where("root is not null").groupBy("root").agg(F.min("vec_id").alias("least"))
     return placed.join(least, "root", "left").select(

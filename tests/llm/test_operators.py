@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from strandloom.llm import bpe, decontaminate, html, langid, licenses, linededup, minhash, toxicity, vectors
 from strandloom.plans.components import connected_components
+from strandloom.plans.tables import written
 
 DOC = "doc_id long, text string, score string, component_id string, fp int, node string, hits string, cut string, lang string"
 ODD = [None, "", " \n\t", "a", "word " * 30_000, "é ü ß", "\x00\x1f", "x" * 200_000]
@@ -539,6 +540,27 @@ def test_vectors_against_brute_force(spark):
     assert vectors.near_vectors(d.limit(0)).count() == 0
 
 
+def test_comparison_copies_no_vector_to_disk(spark, monkeypatch, tmp_path):
+    # many chunks: the rows of the written tables are the vectors and the links, not vectors times chunks
+    monkeypatch.setattr(vectors, "CHUNK", 8)
+    sizes = []
+
+    def counted(df, *path):
+        out = written(df, *path)
+        if "raw" in df.columns or "raws" in df.columns:
+            sizes.append(out.agg(F.sum(F.length("raws" if "raws" in df.columns else "raw"))).first()[0])
+        return out
+
+    monkeypatch.setattr(vectors, "save", counted)
+    draw = np.random.default_rng(5)
+    x = draw.standard_normal((400, 64)).astype(np.float32)
+    x[300:] = x[:100] + 0.05 * draw.standard_normal((100, 64)).astype(np.float32)
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    done = vectors.near_vectors(d)
+    assert sizes == [400 * 256] * 3
+    assert {r.vec_id: (r.n_links, r.component_id) for r in done.collect()} == {i: (int(i < 100 or i >= 300), i - 300 if i >= 300 else i) for i in range(400)}
+
+
 def test_pigeonhole_budgets_add_up():
     for d in (3, 16, 64, 100):
         parts = vectors.blocks(d, 0.9)
