@@ -84,6 +84,17 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def word_starts(data: np.ndarray, offsets: np.ndarray, between: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of rows begin, as word_hashes() takes them, and where each row's words begin among them (one more than rows)."""
+    inside = ~between[data]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    edge = offsets[:-1][offsets[:-1] < offsets[1:]]
+    first[edge] = inside[edge]
+    starts = np.flatnonzero(first)
+    return starts, np.searchsorted(starts, offsets)
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray, between: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the lower-cased words of rows, and where each row's words begin (one more than rows).
 

@@ -11,10 +11,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import SPACE, U64, LOWER, free_name, mix, pieces, table, utf8_parts, word_hashes
+from strandloom.llm.common import SPACE, U64, free_name, mix, pieces, table, utf8_parts, word_hashes, word_starts
 from strandloom.plans.tables import drop, written as save
 
 #: Any run of REPEAT words that stands twice shares a fingerprint: REPEAT = GRAM + window - 1.
@@ -76,24 +77,44 @@ def _select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Sums:
-    """Prefix sums by which any two runs of words are compared at once."""
+    """A text's words and prefix sums, by which any two runs of words are compared at once. Texts of one table share its sums: text is where its words begin in them."""
 
-    def __init__(self, raw: bytes):
-        data = np.frombuffer(raw, np.uint8)
-        self.words, _ = word_hashes(data, np.array([0, len(data)]), SPACE)
-        self.n = len(self.words)
-        self.up, self.down = _step_tables(self.n + 1)
-        self.sums = np.zeros(self.n + 1, U64)
-        np.cumsum(self.words * self.up[: self.n], out=self.sums[1:])
+    def __init__(self, words: np.ndarray, sums: np.ndarray, first: int, end: int):
+        self.words, self.n, self.first, self.sums = words[first:end], end - first, first, sums[first : end + 1]
 
     def keys(self, a: np.ndarray, size: int) -> np.ndarray:
         """Hashes of the runs of size words from a on."""
-        return mix((self.sums[a + size] - self.sums[a]) * self.down[a] + U64(size)).view(np.int64)
+        return mix((self.sums[a + size] - self.sums[a]) * _steps[1][self.first + a] + U64(size)).view(np.int64)
 
     def equal(self, a: np.ndarray, other: Sums, b: np.ndarray, size: np.ndarray) -> np.ndarray:
         mine, theirs = self.sums[a + size] - self.sums[a], other.sums[b + size] - other.sums[b]
-        longer = _step_tables(max(self.n, other.n) + 1)[0]
-        return mine * longer[np.maximum(b - a, 0)] == theirs * longer[np.maximum(a - b, 0)]
+        ahead = other.first + b - self.first - a
+        return mine * _steps[0][np.maximum(ahead, 0)] == theirs * _steps[0][np.maximum(-ahead, 0)]
+
+
+def texts_of(column: pa.Array) -> Iterator[Sums]:
+    """The Sums of each text, hashed together for about as many bytes as pieces() takes; equal neighbours are hashed once."""
+    offsets, data = utf8_parts(column)
+    lengths = np.diff(offsets)
+    new = np.ones(len(lengths), bool)
+    for k in np.flatnonzero(lengths[1:] == lengths[:-1]).tolist():
+        new[k + 1] = not np.array_equal(data[offsets[k] : offsets[k + 1]], data[offsets[k + 1] : offsets[k + 2]])
+    own = np.flatnonzero(new)
+    times = np.diff(np.append(own, len(lengths)))
+    column = column if new.all() else column.take(pa.array(own))
+    offsets, data = utf8_parts(column)
+    at = 0
+    for a, b in pieces(offsets):
+        words, begins = word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], SPACE)
+        up, _ = _step_tables(len(words) + 1)
+        sums = np.zeros(len(words) + 1, U64)
+        np.cumsum(words * up[: len(words)], out=sums[1:])
+        begins = begins.tolist()
+        for k in range(b - a):
+            text = Sums(words, sums, begins[k], begins[k + 1])
+            for _ in range(times[at]):
+                yield text
+            at += 1
 
 
 def reach(t: Sums, p: np.ndarray, s: Sums, q: np.ndarray, sign: int) -> np.ndarray:
@@ -108,14 +129,15 @@ def reach(t: Sums, p: np.ndarray, s: Sums, q: np.ndarray, sign: int) -> np.ndarr
 
 def match(t: Sums, p: np.ndarray, s: Sums, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Equal words before and from p and q: along whole diagonals where they are few, else by reach()."""
-    lines = np.unique(p - q)
+    off = p - q
+    lines = off[:1] if (off == off[:1]).all() else np.unique(off)
     if len(lines) > 8:
         return reach(t, p, s, q, -1), reach(t, p, s, q, 1)
     left, right = np.zeros(len(p), np.int64), np.zeros(len(p), np.int64)
     for d in lines.tolist():
         a, b = max(d, 0), min(t.n, s.n + d)
         breaks = np.concatenate([[a - 1], a + np.flatnonzero(t.words[a:b] != s.words[a - d : b - d]), [b]])
-        at = np.flatnonzero(p - q == d)
+        at = np.flatnonzero(off == d)
         after = np.searchsorted(breaks, p[at])
         left[at], right[at] = p[at] - breaks[after - 1] - 1, breaks[after] - p[at]
     return left, right
@@ -154,44 +176,46 @@ def _extend(size: int, longer: int | None):
     other places may share; equal neighbours are hashed once."""
     schema = pa.schema([("doc", pa.int64()), ("h", pa.int64()), ("runs", _RUNS), ("open", _OPEN)])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[int, tuple[bytes, Sums]] = {}
-
-        def sums(side: int, raw: bytes) -> Sums:
-            if side not in kept or kept[side][0] != raw:
-                kept[side] = (raw, Sums(raw))
-            return kept[side][1]
+    def lists(counts: list[int], kind: pa.DataType, *fields: pa.Array) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]), pa.int32()), pa.StructArray.from_arrays(fields, names=[f.name for f in kind.value_type])).cast(kind)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, np.int64)
         for batch in batches:
-            docs, hs, found, open_ = [], [], [], []
-            texts = [batch.column(k).cast(pa.large_binary()) for k in (3, 4)]
-            for k in range(len(batch)):
-                t, s = sums(0, texts[0][k].as_py()), sums(1, texts[1][k].as_py())
-                places = batch.column(2)[k].values
-                p, q = (places.field(x).to_numpy().astype(np.int64) for x in (0, 1))
+            rows, found, runs, keys, starts = [], [], [], [none], [none]
+            places = batch.column(2)
+            ends = places.offsets.to_numpy()
+            ps, qs = (places.values.field(x).to_numpy().astype(np.int64) for x in (0, 1))
+            for k, (t, s) in enumerate(zip(texts_of(batch.column(3)), texts_of(batch.column(4)))):
+                p, q = ps[ends[k] : ends[k + 1]], qs[ends[k] : ends[k + 1]]
                 fits = (p + size <= t.n) & (q + size <= s.n)
-                p, q = p[fits], q[fits]
+                if not fits.all():
+                    p, q = p[fits], q[fits]
                 left, right = match(t, p, s, q)
                 same = right >= size
-                p, right, left = p[same], right[same], left[same]
+                if not same.all():
+                    p, right, left = p[same], right[same], left[same]
                 if not len(p):
                     continue
                 long = left + right >= REPEAT
-                more = undecided(p, left, right, t.n, size, longer) if longer else p[:0]
-                docs.append(batch.column(0)[k].as_py())
-                hs.append(batch.column(1)[k].as_py())
-                found.append([{"a": a, "b": b} for a, b in union(list(zip((p - left)[long].tolist(), (p + right)[long].tolist())))])
-                open_.append([{"key": x, "pos": y} for x, y in zip(t.keys(more, longer or size).tolist(), more.tolist())])
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(hs, pa.int64()), pa.array(found, _RUNS), pa.array(open_, _OPEN)], schema=schema)
+                more = undecided(p, left, right, t.n, size, longer) if longer else none
+                whole = union(list(zip((p - left)[long].tolist(), (p + right)[long].tolist())))
+                rows.append(k)
+                found.append(len(whole))
+                runs += whole
+                starts.append(more)
+                keys.append(t.keys(more, longer) if len(more) else none)
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0).take(at), batch.column(1).take(at), lists(found, _RUNS, *(pa.array([r[x] for r in runs], pa.int64()) for x in (0, 1))),
+                lists([len(x) for x in starts[1:]], _OPEN, pa.array(np.concatenate(keys)), pa.array(np.concatenate(starts).astype(np.int32))),
+            ], schema=schema)
 
     return run
 
 
-def cut(raw: bytes, runs: list[tuple[int, int]]) -> tuple[bytes, int, int]:
-    """The text without these word runs (a run goes with the white space after it), its words before, and words cut."""
-    data = np.frombuffer(raw, np.uint8)
-    inside = ~SPACE[LOWER[data]]
-    starts = np.flatnonzero(inside & np.concatenate([[True], ~inside[:-1]])) if len(data) else np.zeros(0, np.int64)
+def cut(raw: bytes, starts: np.ndarray, runs: list[tuple[int, int]]) -> tuple[bytes, int]:
+    """The text, whose words begin at starts, without these word runs (a run goes with the white space after it), and words cut."""
     edges = np.append(starts, len(raw))
     out, at, gone = [], 0, 0
     for a, b in runs:
@@ -199,7 +223,7 @@ def cut(raw: bytes, runs: list[tuple[int, int]]) -> tuple[bytes, int, int]:
         at, gone = int(edges[b]), gone + b - a
     out.append(raw[at:])
     joined = b"".join(out)
-    return (joined.rstrip() if gone else joined), len(starts), gone
+    return (joined.rstrip() if gone else joined), gone
 
 
 CUT = "struct<text:string,n_words:bigint,n_removed:bigint>"
@@ -210,15 +234,25 @@ def without_runs(text: Column, runs: Column) -> Column:
 
     @F.arrow_udf(CUT)
     def apply(text: pa.Array, runs: pa.Array) -> pa.Array:
-        done = []
-        for x, r in zip(text.cast(pa.large_binary()), runs):
-            raw, some = x.as_py(), r.as_py() or []
-            if raw is None:
-                done.append((None, 0, 0))
-            else:
-                kept, n, gone = cut(raw, union([(y["a"], y["b"]) for z in some for y in z]))
-                done.append((kept.decode("utf-8", "replace"), n, gone))
-        return pa.StructArray.from_arrays([pa.array([x[0] for x in done], pa.string()), pa.array([x[1] for x in done], pa.int64()), pa.array([x[2] for x in done], pa.int64())], names=["text", "n_words", "n_removed"])
+        offsets, data = utf8_parts(text)
+        n_words, removed = np.zeros(len(text), np.int64), np.zeros(len(text), np.int64)
+        cuts: list[str] = []
+        some = runs.is_valid().to_numpy(zero_copy_only=False) & text.is_valid().to_numpy(zero_copy_only=False)
+        for a, b in pieces(offsets):
+            starts, at = word_starts(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], SPACE)
+            n_words[a:b] = np.diff(at)
+            for k in (a + np.flatnonzero(some[a:b])).tolist():
+                raw = data[offsets[k] : offsets[k + 1]].tobytes()
+                own = starts[at[k - a] : at[k - a + 1]] - (offsets[k] - offsets[a])
+                kept, removed[k] = cut(raw, own, union([(y["a"], y["b"]) for z in runs[k].as_py() for y in z]))
+                cuts.append(kept.decode("utf-8", "replace"))
+        try:
+            whole = text.cast(pa.binary()).cast(pa.string())
+        except pa.ArrowInvalid:
+            whole = pa.array([None if x is None else x.decode("utf-8", "replace") for x in text.cast(pa.large_binary()).to_pylist()], pa.string())
+        if cuts:
+            whole = pc.replace_with_mask(whole, pa.array(some), pa.array(cuts, pa.string()))
+        return pa.StructArray.from_arrays([whole, pa.array(n_words), pa.array(removed)], names=["text", "n_words", "n_removed"])
 
     return apply(text, runs)
 
@@ -234,6 +268,10 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     """
     doc = ["doc", "h"]
     again = save(docs.select("doc", "text", "h").mapInArrow(_select, "key long, doc long, h long, pos int"))
+    # most fingerprints stand once: they are counted as plain numbers, and only the others are put in order
+    often = again.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    every, again = again, save(again.join(often.hint("merge"), "key", "left_semi"))
+    drop(every)
     found, made = [], [again]
     held = None
     for size, longer in zip(SIZES, (*SIZES[1:], None)):

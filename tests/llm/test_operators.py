@@ -6,10 +6,12 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from strandloom.llm import bpe, decontaminate, html, langid, licenses, linededup, minhash, toxicity, vectors
+from strandloom.llm.common import word_hashes
 from strandloom.plans.components import connected_components
 from strandloom.plans.tables import written
 
@@ -182,6 +184,18 @@ def test_repeated_runs_against_brute_force(spark):
             assert got[i].cut.text == t
 
 
+def test_texts_of_a_batch_are_hashed_together(monkeypatch):
+    calls = []
+    monkeypatch.setattr(linededup, "word_hashes", lambda *a: calls.append(1) or word_hashes(*a))
+    texts = ["a b c d", "a b c d", "", None, "x b c\td y", "x b c\td y", "é b"]
+    got = list(linededup.texts_of(pa.array(["cut off", *texts]).slice(1)))
+    assert len(calls) == 1 and [t.n for t in got] == [len((t or "").split()) for t in texts]
+    assert got[0] is got[1] and got[4] is got[5]
+    one, two, three = np.array([1]), np.array([1]), np.array([3])
+    assert got[0].equal(one, got[4], two, three).all() and not got[0].equal(one - 1, got[4], two - 1, three).any()
+    assert got[0].keys(one, 3) == got[4].keys(two, 3) and got[0].keys(one - 1, 3) != got[4].keys(two - 1, 3)
+
+
 def test_repeated_rows_are_one_document(spark):
     t = words(80, random.Random(1), 10**6)
     got = linededup.without_repeats(spark.createDataFrame([(3, t), (3, t), (None, t), (9, t)], "doc_id long, text string")).collect()
